@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,38 @@ def sha256(text: str) -> str:
 def key_of(*parts) -> Column:
     """A 64-bit hash of columns, alike on every run."""
     return F.xxhash64(*parts)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches of whole groups, with each group's range, from rows sorted by
+    their first ``keys`` columns (numbers). Only the last group waits for more."""
+    held: list[pa.RecordBatch] = []
+
+    def ranges(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[:1] = True
+        for k in range(keys):
+            c = batch.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.append(np.flatnonzero(new), batch.num_rows)
+
+    def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+        return all(a.column(k)[-1] == b.column(k)[-1] for k in range(keys))
+
+    def spans(at: np.ndarray) -> list[tuple[int, int]]:
+        return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and same(held[-1], batch) and len(ranges(batch)) == 2:
+            held.append(batch)
+            continue
+        whole = pa.concat_batches([*held, batch]) if held else batch
+        at = ranges(whole)
+        held = [whole.slice(int(at[-2]))]
+        if len(at) > 2:
+            yield whole.slice(0, int(at[-2])), spans(at[:-1])
+    if held:
+        whole = pa.concat_batches(held)
+        yield whole, spans(ranges(whole))
