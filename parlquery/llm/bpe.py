@@ -220,6 +220,25 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> Da
     return done.withColumns({n: F.col(f"__bpe.{n}") for n in names}).drop("__bpe")
 
 
+def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """Replace the text by ``token_ids`` with ``n_tokens`` and the digest of the
+    text that the ids decode to; each text is read once."""
+    path = path or vocabulary_path()
+
+    def make():
+        codec = WordBpe(path)
+
+        def f(x: str) -> dict:
+            n, ids, decoded = codec.encode(x)
+            return {"n_tokens": n, "token_ids": [int(i) for i in ids.split()], "decoded_sha256": common.sha256(decoded)}
+
+        return f
+
+    kind = pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+    done = df.withColumn("__bpe", common.text_udf(make, "struct<n_tokens: bigint, token_ids: array<int>, decoded_sha256: string>", kind)(F.col(text)))
+    return done.withColumns({c: F.col(f"__bpe.{c}") for c in ("n_tokens", "token_ids", "decoded_sha256")}).drop("__bpe", text)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op8``: every document encoded and decoded."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")

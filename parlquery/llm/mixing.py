@@ -32,8 +32,11 @@ from .feistel import permute
 #: Times its own words that a source may be taken.
 MOST = 3
 
-#: Words of a block, blocks of a shard, and what decides all draws.
+#: Words of a block at least, blocks of the whole table at about most (blocks get
+#: larger beyond it, so that no step holds more numbers of one source), blocks
+#: of a shard, and what decides all draws.
 BLOCK_WORDS = 1 << 16
+BLOCKS = 1 << 20
 SHARD_BLOCKS = 256
 SEED = 20_240
 
@@ -80,7 +83,8 @@ def plan(sizes: DataFrame) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("int")
     by = targets(sizes).withColumn("quota", quota).withColumn("passes", passes)
     by = by.withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
-    by = by.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("bigint"))
+    words_of_block = F.greatest(F.lit(BLOCK_WORDS), F.ceil(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / BLOCKS))
+    by = by.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / words_of_block)).cast("bigint"))
     by = common.materialize(by, "mix-sources")
     rows = sizes.join(by.filter("rest > 0").select(F.col("source").alias("s"), "sid", "blocks", "rest"), F.col("source").eqNullSafe(F.col("s")))
     rows = rows.withColumn("block", block())

@@ -10,8 +10,9 @@ that connect what it found near, at most one row a fingerprint, not pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; fewer words than a shingle has make one shingle; repeated rows share a
-component; an empty table returns no rows; extra columns do not matter, since
-only the id and the text are read.
+component, and one of them stays; rows without an id are compared like others,
+have no say in the smallest id, and one of them stays where a group has no id at
+all; an empty table returns no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -191,14 +192,34 @@ def link(fps: DataFrame) -> DataFrame:
 
 
 def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row."""
+    """``(doc_id, fp, component_id, component_fp)`` of every row; the last names
+    the component where none of its rows has an id."""
     prints = common.materialize(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"), "prints")
     by = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "by-print")
     groups = components.components(link(by))
-    firsts = by.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
-    least = firsts.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = common.materialize(firsts.join(least, "c").select("fp", "component_id"), "named-print")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    firsts = by.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component_fp"))
+    least = firsts.groupBy("component_fp").agg(F.min("first").alias("component_id"))
+    named = common.materialize(firsts.join(least, "component_fp").select("fp", "component_id", "component_fp"), "named-print")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "component_fp")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component the one with its smallest
+    id, with all their columns."""
+    found = common.materialize(cluster(df, doc_id, text), "clustered")
+    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = common.materialize(first, "kept-ids").select(F.col("doc_id").alias("__first"), F.col("n").alias("__n"))
+    once, again = first.filter("__n = 1"), first.filter("__n > 1")
+    kept = df.join(once, df[doc_id] == F.col("__first"), "left_semi")
+    # rows that share an id, and those without one, are few: they alone are grouped
+    if not again.isEmpty():
+        many = df.join(again, df[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
+        kept = kept.unionAll(many)
+    nameless = found.filter("component_id is null").select(F.col("fp").alias("__f"), F.col("component_fp").alias("__c")).distinct()
+    if not nameless.isEmpty():
+        rows = fingerprints(df.filter(F.col(doc_id).isNull()), text, "__fp").join(nameless, F.col("__fp") == F.col("__f"))
+        kept = kept.unionAll(rows.dropDuplicates(["__c"]).select(*df.columns))
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

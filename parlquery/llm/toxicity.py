@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, doc_id: str
     f = common.text_udf(lambda: lambda x: features(x).tobytes(), "binary", pa.binary())
     chosen = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
     # repeated ids would let the sample grow
-    found = chosen.limit(2 * TRAIN_ROWS).select("__id", f(F.col("__text")).alias("f"), *names).collect()
+    found = chosen.select("__id", f(F.col("__text")).alias("f"), *names).limit(2 * TRAIN_ROWS).collect()
     found.sort(key=lambda r: (r["__id"], bytes(r["f"])))
     rows = [np.frombuffer(r["f"], dtype=np.int32) for r in found]
     return Chain.fit(rows, np.array([[r[n] for n in names] for r in found]).reshape(-1, len(names)), names)
