@@ -1,12 +1,63 @@
-"""Stages that make a training corpus of ``documents``."""
+"""Stages that make a training corpus of ``documents``.
+
+Each stage takes all rows that the one before it kept. Toxic documents go, one
+document of each near-duplicate group stays, secrets are masked in the texts,
+sources are mixed to their target weights (a document may then come up to three
+times), and the texts are encoded as token ids, which decode again exactly as
+the tokenizer's own decoding. No stage can be said in SQL, so ``ORACLE_SQL`` is
+None and tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlquery.llm import bpe, common, mixing, secret_lexing, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    return toxicity.reject(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced."""
+    masked = secret_lexing.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, their number, and the digest of the decoded text."""
+    return bpe.tokenized(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages in turn over the whole table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the whole table, each written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.materialize(docs, f"pipeline-{name}")
     return docs
