@@ -38,11 +38,11 @@ CATEGORIES = (("junk", "quality", 0), ("toxic", "toxic", 1))
 
 FOLDS = 4
 WIDTH = 1 << 20
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5)
 
 #: Features that a model may use, and the significance that they need.
 FEATURES = 4096
-SIGNIFICANCE = 5.0
+SIGNIFICANCE = 4.0
 
 _CAPITALS = bytes(range(65, 91))
 _WORD = re.compile(r"[^\W\d_]+")
