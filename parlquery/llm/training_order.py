@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ def vocabulary_path() -> str:
 
 
 class ByteBpe:
-    """Byte-level BPE with a memo of pieces; ids as two bytes each."""
+    """Byte-level BPE; ids as two bytes each."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -56,20 +55,9 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cut = regex.compile(public_tokenizers.PATTERN)
-        self.memo: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        found = np.array(self.coder.encode_ordinary(piece), dtype="<u2").tobytes()
-        if len(piece) < 64:
-            if len(self.memo) >= common.MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[piece] = found
-        return found
 
     def encode(self, text: str) -> bytes:
-        get, piece = self.memo.get, self.piece
-        return b"".join([get(p) or piece(p) for p in self.cut.findall(text)])
+        return np.array(self.coder.encode_ordinary(text), dtype="<u2").tobytes()
 
     def decode(self, ids: bytes) -> str:
         return self.coder.decode([i for i in np.frombuffer(ids, dtype="<u2").tolist() if i != END])
