@@ -18,7 +18,9 @@ are, and a column named like an output is replaced.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -224,18 +226,22 @@ def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> Dat
     """Replace the text by ``token_ids`` with ``n_tokens`` and the digest of the
     text that the ids decode to; each text is read once."""
     path = path or vocabulary_path()
+    kind = pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
-    def make():
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = WordBpe(path)
-
-        def f(x: str) -> dict:
-            n, ids, decoded = codec.encode(x)
-            return {"n_tokens": n, "token_ids": [int(i) for i in ids.split()], "decoded_sha256": common.sha256(decoded)}
-
-        return f
-
-    kind = pa.struct([("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
-    done = df.withColumn("__bpe", common.text_udf(make, "struct<n_tokens: bigint, token_ids: array<int>, decoded_sha256: string>", kind)(F.col(text)))
+        for batch in batches:
+            n, ids, digests = [0], [np.zeros(0, dtype=np.int32)], []
+            for x in batch:
+                k, own, decoded = codec.encode(x.as_py() or "")
+                n.append(k)
+                ids.append(np.fromstring(own, dtype=np.int32, sep=" "))  # four bytes an id, not an object
+                digests.append(common.sha256(decoded))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.StructArray.from_arrays([pa.array(n[1:], pa.int64()), lists, pa.array(digests, pa.string())], fields=list(kind))
+
+    f = F.arrow_udf(run, "struct<n_tokens: bigint, token_ids: array<int>, decoded_sha256: string>", F.ArrowUDFType.SCALAR_ITER)
+    done = df.withColumn("__bpe", f(F.col(text)))
     return done.withColumns({c: F.col(f"__bpe.{c}") for c in ("n_tokens", "token_ids", "decoded_sha256")}).drop("__bpe", text)
 
 
