@@ -31,6 +31,12 @@ from . import common
 #: Symbols of a piece up to which it is merged directly.
 LEAF = 512
 
+#: Entries of a memo of words and pieces; there are two at a time.
+MEMO_ENTRIES = 120_000
+
+#: Token count, ids joined by spaces, tokens joined by spaces.
+Coded = tuple[int, str, str]
+
 #: Characters for which normalising is lower-casing alone.
 _PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -69,9 +75,10 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.direct = self.whole.model.tokenize
         self.inner = None
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.pieces: dict[str, list[str]] = {}
+        self.memo: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
 
     def merge(self, s: list[str]) -> list[str]:
         """Merge neighbours by rank, the leftmost of equals first."""
@@ -92,17 +99,27 @@ class WordBpe:
         s[-1] += self.end
         return s
 
-    def piece(self, piece: str) -> list[str]:
-        """The tokens of a piece without a cut."""
-        if (found := self.pieces.get(piece)) is None:
-            s = self.symbols(piece)
-            found = self.merge(s) if len(s) <= self.leaf else self.tree(s)
-            if len(s) < 64:
-                if len(self.pieces) >= common.MEMO_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+    def remember(self, key: str, found: Coded) -> Coded:
+        """Keep a short stretch. A full memo ages, and the one before it goes."""
+        if len(key) < 64:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.old, self.memo = self.memo, {}
+            self.memo[key] = found
         return found
 
+    def piece(self, piece: str) -> Coded:
+        """The tokens of a piece without a cut."""
+        if found := self.memo.get(piece):
+            return found
+        if (found := self.old.get(piece)) is None:
+            if len(piece) <= self.leaf // 4:  # a character has four bytes at most
+                tokens = [t.value for t in self.direct("".join([self.symbol[b] for b in piece.encode("utf-8", "surrogatepass")]))]
+            else:
+                s = self.symbols(piece)
+                tokens = self.merge(s) if len(s) <= self.leaf else self.tree(s)
+            found = len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
+        return self.remember(piece, found)
+
     def tree(self, s: list[str]) -> list[str]:
         """Encode halves of a long piece down to leaves, then join them."""
         n = len(s)
@@ -147,17 +164,14 @@ class WordBpe:
                 return a[: len(a) - i] + c + b[j:]
             i, j = i if left else i * 2, j if right else j * 2
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Token count, ids and tokens of a stretch without white space."""
-        tokens = [t for p in _PIECES.findall(word) for t in self.piece(p)]
-        found = len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
-        if len(word) < 64:
-            if len(self.memo) >= common.MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+    def word(self, word: str) -> Coded:
+        """The tokens of a stretch without white space."""
+        if (found := self.old.get(word)) is None:
+            parts = [self.piece(p) for p in _PIECES.findall(word)]
+            found = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        return self.remember(word, found)
 
-    def encode(self, text: str) -> tuple[int, str, str]:
+    def encode(self, text: str) -> Coded:
         """Token count, the ids joined by spaces, and the decoded text."""
         if "<|" in text and len(parts := self.cut.split(text)) > 1:
             done = [(1, str(self.special[p]), p) if p in self.special else self.encode(p) for p in parts]
