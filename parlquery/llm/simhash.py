@@ -210,7 +210,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     first = common.materialize(first, "kept-ids").select(F.col("doc_id").alias("__first"), F.col("n").alias("__n"))
     once, again = first.filter("__n = 1"), first.filter("__n > 1")
-    kept = df.join(once, df[doc_id] == F.col("__first"), "left_semi")
+    # ids grow with the rows, so they are never sent to every task, however few
+    kept = df.join(once.hint("shuffle_hash"), df[doc_id] == F.col("__first"), "left_semi")
     # rows that share an id, and those without one, are few: they alone are grouped
     if not again.isEmpty():
         many = df.join(again, df[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
