@@ -43,7 +43,7 @@ def format_day(ms: Column) -> Column:
 def recency_decay(ms: Column, now_ms: int) -> Column:
     """Halves every 30 days; 1 for the future, 0 without a time."""
     age = F.greatest(F.lit(now_ms) - ms, F.lit(0)) / F.lit(float(model.DAY_MS))
-    return F.coalesce(F.exp(-F.ln(F.lit(2.0)) * age / model.HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(ms.isNull(), 0.0).otherwise(F.exp(-F.ln(F.lit(2.0)) * age / model.HALF_LIFE_DAYS))
 
 
 def boosted(score: Column, ms: Column, now_ms: int) -> Column:

@@ -148,7 +148,7 @@ def civil_date(spark, sf):
     return e.select("event_id", tm.civil_days(F.year("ts"), F.month("ts"), F.day("ts")).alias("days"), tm.format_day(ms).alias("day"))
 
 
-_DECAY = f"coalesce(exp(-ln(2.0) * (greatest({NOW_MS} - timestamp_ms, 0) / 86400000.0) / 30), 0.0)"
+_DECAY = f"CASE WHEN timestamp_ms IS NULL THEN 0.0::DOUBLE ELSE exp(-ln(2.0) * (greatest({NOW_MS} - timestamp_ms, 0) / 86400000.0::DOUBLE) / 30) END"
 
 
 @query(with_views("sessions") + f"SELECT session_id, round({_DECAY}, {DIGITS}) AS decay FROM sessions")

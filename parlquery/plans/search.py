@@ -122,8 +122,9 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
         return nothing, meta
     shown = results(excerpt.attach(page, tiers).join(hits.select("session_id", F.col(score).alias("__s")), "session_id"))
     order = [r[0] for r in page.select("session_id").collect()]  # a page of results
-    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("session_id")) if order else F.lit(0)
-    return shown.orderBy(place), meta
+    if not order:
+        return nothing, meta
+    return shown.orderBy(F.array_position(F.array(*[F.lit(x) for x in order]), F.col("session_id"))), meta
 
 
 def terms(query: str) -> list[str]:
