@@ -68,6 +68,14 @@ class Engine:
         found.unpersist()
         return n
 
+    def backfill_files(self) -> tuple[int, int]:
+        """Record the written files of sessions that lack them."""
+        return indexing.backfill_files(self.house)
+
+    def optimize(self) -> str:
+        """Write the index of trigrams for ``operators.fts.lookup``."""
+        return indexing.write_postings(self.house)
+
     def status(self) -> DataFrame:
         return maintain.status(self.tables())
 

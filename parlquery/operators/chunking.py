@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as tx
 from .numbering import dense_ids, running_max
 
-#: Messages of a block of a session, and ids of a block of chunks.
+#: Messages of a block of a session, and blocks that chunks are numbered in.
 BLOCK = 1024
-ID_BLOCK = 1 << 44
+ID_BLOCKS = 1 << 16
 
 
 def groups(messages: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def chunks(messages: DataFrame, most: int = model.CHUNK_BYTES) -> DataFrame:
     return found.select("session_id", "lo", "hi", F.posexplode(tx.contents(F.col("user"), F.col("assistant"), most)).alias("part", "content"))
 
 
-def numbered(found: DataFrame, first: Column | int = 0) -> DataFrame:
-    """Add ``chunk_id``, counted on from ``first`` in the order of messages."""
-    out = dense_ids(found, "chunk_id", ["lo", "part"], F.floor(F.col("lo") / ID_BLOCK))
-    return out.withColumn("chunk_id", F.col("chunk_id") + F.lit(first) if isinstance(first, int) else F.col("chunk_id") + first)
+def numbered(found: DataFrame, messages: DataFrame, first: Column | int = 0) -> DataFrame:
+    """Add ``chunk_id`` to chunks of these messages, counted on from ``first`` in
+    the order of messages. Blocks are ranges of ids, as many at any size."""
+    width = messages.agg(F.greatest(F.lit(1), F.ceil(F.max("msg_id") / ID_BLOCKS)).alias("w")).select("w").scalar()
+    out = dense_ids(found, "chunk_id", ["lo", "part"], F.floor(F.col("lo") / width))
+    return out.withColumn("chunk_id", F.col("chunk_id") + (F.lit(first) if isinstance(first, int) else first))
 
 
 def unchunked(sessions: DataFrame, chunked: DataFrame) -> DataFrame:
@@ -51,8 +53,6 @@ def backfill_ranges(chunked: DataFrame, messages: DataFrame) -> DataFrame:
     sessions anew: only where a session's chunks are the same, one by one."""
     bare = chunked.join(chunked.filter("lo is null").select("session_id").distinct(), "session_id", "left_semi")
     again = chunks(messages.join(bare.select("session_id").distinct(), "session_id", "left_semi"))
-    from pyspark.sql import Window
-
     old = bare.select("session_id", "chunk_id", F.col("content").alias("old"), (F.col("lo").isNull()).alias("bare"), F.row_number().over(Window.partitionBy("session_id").orderBy("chunk_id")).alias("k"))
     new = again.select("session_id", "lo", "hi", F.col("content").alias("new"), F.row_number().over(Window.partitionBy("session_id").orderBy("lo", "part")).alias("k"))
     both = old.join(new, ["session_id", "k"], "full_outer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text as tx
 from ..functions.vector import Embedder, embed_batches
-from ..operators import chunking, maintain
+from ..operators import chunking, fts, maintain
 from ..operators.numbering import dense_ids
 from ..sources import jsonl, manifest, producers
 from ..sources.warehouse import Warehouse
 
 
+#: Shares of the sessions that messages are numbered in.
+SHARES = 1 << 16
+
+
 @dataclass
 class IndexStats:
     new: int = 0
@@ -72,7 +77,10 @@ def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder
         own = union(messages).join(fresh.select("path", "session_id"), "path")
         own = own.select("session_id", "line_no", "role", tx.strip_control(F.col("text")).alias("text")).filter("text <> ''")
         first = t["messages"].agg(F.coalesce(F.max("msg_id"), F.lit(0)).alias("m")).select("m").scalar()
-        own = dense_ids(own, "k", ["session_id", "line_no"], F.substring("session_id", 1, 2)).withColumn("msg_id", F.col("k") + first)
+        # ids rise along each session, which is all that their order means; a
+        # block is a share of the sessions, and a long session has many
+        block = F.pmod(F.xxhash64("session_id"), F.lit(SHARES)) * F.lit(1 << 24) + F.floor(F.col("line_no") / (1 << 20))
+        own = dense_ids(own, "k", ["session_id", "line_no"], block).withColumn("msg_id", F.col("k") + first)
         paths = union(files).join(fresh.select("path", "session_id"), "path").select("session_id", F.col("file").alias("path")).distinct()
         scanned = paths.groupBy("session_id").agg(F.count("*").cast("int").alias("files_scanned"))
         kinds = maintain.first_user_turns(own).select("session_id", tx.classify_first_turn(F.col("text")).alias("session_type"))
@@ -110,7 +118,7 @@ def add_chunks(house: Warehouse) -> int:
     todo = chunking.unchunked(t["sessions"], t["qa_chunks"]).select("session_id", "timestamp_ms")
     own = t["messages"].join(todo, "session_id", "left_semi")
     first = t["qa_chunks"].agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("m")).select("m").scalar()
-    found = chunking.numbered(chunking.chunks(own), first).join(todo, "session_id")
+    found = chunking.numbered(chunking.chunks(own), own, first).join(todo, "session_id")
     columns = [f.name for f in model.CHUNKS]
     before = t["qa_chunks"].count()
     house.write({"qa_chunks": t["qa_chunks"].select(*columns).unionByName(found.select(*columns))})
@@ -127,3 +135,36 @@ def embed_pending(house: Warehouse, embedder: Embedder, budget: int | None = Non
         house.write({"vec_chunks": t["vec_chunks"].select(*columns).unionByName(done.filter("error is null").select(*columns))})
     done.unpersist()
     return told["ok"], told["bad"], told["e"]
+
+
+def backfill_files(house: Warehouse) -> tuple[int, int]:
+    """Read the written files of sessions that never had them recorded. Returns
+    how many sessions are settled, and how many stay because their file cannot
+    be read now; a file without written files settles its session too."""
+    t, spark = house.read(), house.spark
+    todo = t["sessions"].filter("files_scanned is null").select("session_id", "source", F.col("file_path").alias("path"))
+    found = {source: [r[0] for r in todo.filter(F.col("source") == source).select("path").collect()] for source in model.SOURCES}  # names to open
+    there = {s: [p for p in paths if os.access(p, os.R_OK)] for s, paths in found.items()}
+    settled, away = sum(map(len, there.values())), sum(map(len, found.values())) - sum(map(len, there.values()))
+    if not settled:
+        return 0, away
+    parts = [producers.parse(jsonl.read_lines(spark, paths), s).files.select("path", "file") for s, paths in there.items() if paths]
+    files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    own = files.join(todo.select("path", "session_id"), "path").select("session_id", F.col("file").alias("path")).distinct()
+    counted = own.groupBy("session_id").agg(F.count("*").cast("int").alias("__n"))
+    read = spark.createDataFrame([(p,) for paths in there.values() for p in paths], "__path string")
+    rows = t["sessions"].join(counted, "session_id", "left").join(read, F.col("file_path") == F.col("__path"), "left")
+    new = F.coalesce("files_scanned", F.when(F.col("__path").isNotNull(), F.coalesce("__n", F.lit(0))))
+    columns = [f.name for f in model.SESSIONS]
+    sessions = rows.withColumn("files_scanned", new).select(*columns)
+    house.write({"sessions": sessions, "session_files": t["session_files"].unionByName(own.select("session_id", "path")).distinct()})
+    return settled, away
+
+
+def write_postings(house: Warehouse, path: str | None = None) -> str:
+    """Write the index of trigrams of the current messages, a folder a bucket and
+    in it a file for each range of messages, sorted, so that a lookup opens few
+    files and no task writes a whole bucket."""
+    path = path or f"{house.path}/postings-{house.version()}"
+    fts.postings(house.read()["messages"]).repartition("bucket", F.floor(F.col("msg_id") / (1 << 24))).sortWithinPartitions("trigram", "msg_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return path

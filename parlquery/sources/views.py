@@ -61,7 +61,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, bare: bool = False) -> DataFrame:
     """Chunks with dense ids; ``bare`` leaves the ranges of odd sessions out."""
-    found = chunking.numbered(chunking.chunks(messages(spark, sf_dir)))
+    said = messages(spark, sf_dir)
+    found = chunking.numbered(chunking.chunks(said), said)
     times = sessions(spark, sf_dir).select("session_id", "timestamp_ms")
     out = found.join(times, "session_id").select("chunk_id", "session_id", "content", "timestamp_ms", "lo", "hi")
     if bare:
