@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as tx
-from ..functions.script import phrases
 from ..functions.time import format_day
 from ..functions.vector import Embedder
 from ..operators import excerpt, filters, fts, rank, vector
@@ -125,7 +124,3 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
     if not order:
         return nothing, meta
     return shown.orderBy(F.array_position(F.array(*[F.lit(x) for x in order]), F.col("session_id"))), meta
-
-
-def terms(query: str) -> list[str]:
-    return phrases(query)

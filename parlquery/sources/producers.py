@@ -44,7 +44,7 @@ def _given(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def _finish(entries: DataFrame, per_file: DataFrame, messages: DataFrame, files: DataFrame, lines: DataFrame) -> Parsed:
+def _finish(per_file: DataFrame, messages: DataFrame, files: DataFrame, lines: DataFrame) -> Parsed:
     sessions = per_file.join(messages.select("path").distinct(), "path", "left_semi")
     sessions = sessions.filter("session_id <> ''")
     return Parsed(sessions, messages.filter(stem(F.col("path")) != ""), files.filter(stem(F.col("path")) != ""), jsonl.skipped_lines(lines))
@@ -58,8 +58,9 @@ def parse_a(lines: DataFrame) -> Parsed:
     slug = F.when(jsonl.at(v, "$.slug").isNotNull(), _given(jsonl.string_at(v, "$.slug"))).otherwise(_given(jsonl.string_at(v, "$.leafName")))
     message, kind, role = jsonl.at(v, "$.message"), jsonl.string_at(v, "$.type"), jsonl.string_at(v, "$.role")
     content = F.when(jsonl.kind(message) == "OBJECT", jsonl.at(v, "$.message.content")).when(jsonl.kind(message) == "STRING", message).otherwise(jsonl.at(v, "$.content"))
-    is_user = F.coalesce((role == "user") | kind.isin("user", "human"), F.coalesce(role == "user", F.lit(False)) | F.coalesce(kind.isin("user", "human"), F.lit(False)))
-    is_assistant = F.coalesce(role == "assistant", F.lit(False)) | F.coalesce(kind == "assistant", F.lit(False))
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    is_user = either(role == "user", kind.isin("user", "human"))
+    is_assistant = either(role == "assistant", kind == "assistant")
     entries = entries.select(
         "path", "line_no", jsonl.string_at(v, "$.cwd").alias("cwd"), slug.alias("slug"), jsonl.time_at(v, "$.timestamp").alias("ts"),
         F.when(is_user, "user").when(is_assistant, "assistant").alias("role"), content.alias("content"),
@@ -78,7 +79,7 @@ def parse_a(lines: DataFrame) -> Parsed:
     tools = tools.filter((jsonl.string_at(block, "$.type") == "tool_use") & jsonl.string_at(block, "$.name").isin(*_WRITE_TOOLS))
     files = tools.select("path", target.alias("file"), "line_no", "pos").filter(valid_path(F.col("file")))
     files = files.groupBy("path", "file").agg(F.min(F.struct("line_no", "pos")).alias("first"))
-    return _finish(entries, per_file, messages, files, lines)
+    return _finish(per_file, messages, files, lines)
 
 
 def valid_path(path: Column) -> Column:
@@ -127,7 +128,7 @@ def parse_b(lines: DataFrame) -> Parsed:
     said = entries.filter(F.col("role").isin(*model.ROLES))
     messages = said.select("path", "line_no", "role", jsonl.text_of(F.col("content")).alias("text")).filter((F.col("text") != "") & ~tx.is_boilerplate(F.col("text")))
     files = messages.sparkSession.createDataFrame([], "path string, file string, first struct<line_no: bigint, pos: int>")
-    return _finish(entries, per_file, messages, files, lines)
+    return _finish(per_file, messages, files, lines)
 
 
 PARSERS = {model.SOURCES[0]: parse_a, model.SOURCES[1]: parse_b}
