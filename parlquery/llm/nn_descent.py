@@ -4,9 +4,11 @@ Distinct vectors of a label are the nodes of a neighbour graph. Lists start from
 the neighbours in a few random-projection orders and are refined by joining
 neighbours of neighbours: each node compares the vectors in its list, forward
 and reverse, with one another and hands the pairs that improve a list on. A list
-that is saturated with links grows fourfold; what even that cannot hold is not
-lost, since links are counted in the end within whole components of the graph,
-block against block. An audit compares a bounded sample of nodes with all others
+that is saturated with links grows fourfold. Tight groups can fill even that with
+their own vectors and keep no entry of a group next to them, so components of
+saturated nodes are then compared exactly, wherever their centres and radii allow
+a link, and joined. Links are counted in the end within whole components, block
+against block. An audit compares a bounded sample of nodes with all others
 by brute force, and the search is repeated with longer lists while its recall
 is too low.
 
@@ -179,6 +181,90 @@ def descend(own: DataFrame, size: int, orders: int, cosine: float = COSINE, seed
     return lists.select("a", "b", "sim")
 
 
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean direction of each block, and the widest angle from it."""
+    for batch, spans in common.sorted_groups(batches, 2):
+        first = batch.take(pa.array([i for i, _ in spans]))
+        centre, radius = [], []
+        for i, j in spans:
+            x = _matrix(batch.column(4).slice(i, j - i), len(batch.column(4)[i].as_py()) // 8)
+            c = x.sum(0)
+            c = c / n if (n := np.linalg.norm(c)) > 1e-6 else x[0]
+            centre.append(c.astype("<f8").tobytes())
+            radius.append(float(np.arccos(np.clip((x @ c).min(), -1, 1))))
+        yield pa.RecordBatch.from_arrays([first.column(0), first.column(1), first.column(2), pa.array(radius), pa.array(centre, pa.binary())], names=["component", "own", "space", "radius", "centre"])
+
+
+def _within_reach(cosine: float):
+    """Pairs of blocks of two components that may hold a link, by the triangle
+    inequality of angles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, spans in common.sorted_groups(batches, 3):
+            tile, component, own, radius = (batch.column(k).to_numpy() for k in (3, 4, 5, 6))
+            pick = []
+            for i, j in spans:
+                x = _matrix(batch.column(7).slice(i, j - i), len(batch.column(7)[i].as_py()) // 8)
+                lo, hi = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                first, second = np.flatnonzero(tile[i:j] == lo), np.flatnonzero(tile[i:j] == hi)
+                reach = math.acos(cosine) + 1e-6 + radius[i + first][:, None] + radius[i + second][None, :]
+                near = np.arccos(np.clip(x[first] @ x[second].T, -1, 1)) <= reach
+                near &= component[i + first][:, None] != component[i + second][None, :]
+                if lo == hi:
+                    near = np.triu(near)
+                p, q = np.nonzero(near)
+                pick.append((i + first[p], i + second[q]))
+            p, q = (np.concatenate(x) for x in zip(*pick, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (component[p], own[p], component[q], own[q])], names=["ca", "oa", "cb", "ob"])
+
+    return run
+
+
+def _linked(cosine: float):
+    """Of pairs of blocks, those that a link crosses: rows (component, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, spans in common.sorted_groups(batches, 4):
+            left, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 0, 2))
+            at = []
+            for i, j in spans:
+                x = _matrix(batch.column(5).slice(i, j - i), len(batch.column(5)[i].as_py()) // 8)
+                if (x[left[i:j] == 0] @ x[left[i:j] == 1].T >= cosine).any():
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["a", "b"])
+
+    return run
+
+
+def joined(own: DataFrame, near: DataFrame, groups: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """``groups`` with those made one that a link between saturated nodes joins,
+    nodes of at least ``LIST`` links; lists of fewer were cut by no limit."""
+    full = near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") >= LIST).select("node")
+    full = full.join(groups, "node")
+    size = full.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
+    full = full.join(size, "component").join(own.select("node", "space", "vec"), "node")
+    full = full.select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("bigint").alias("own"), "space", "node", "vec")
+    full = common.materialize(full, "full")
+    centres = full.repartition("component", "own").sortWithinPartitions("component", "own", "node")
+    centres = centres.mapInArrow(_centres, "component bigint, own bigint, space bigint, radius double, centre binary")
+    centres = common.materialize(centres, "centres")
+    tiles = centres.groupBy("space").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("tiles"))
+    rows = centres.join(tiles, "space").withColumn("tile", F.pmod(F.xxhash64("component", "own"), F.col("tiles")).cast("bigint"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    rows = rows.select("space", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "component", "own", "radius", "centre")
+    rows = rows.repartition("space", "lo", "hi").sortWithinPartitions("space", "lo", "hi", "component", "own")
+    pairs = rows.mapInArrow(_within_reach(cosine), "ca bigint, oa bigint, cb bigint, ob bigint")
+    pairs = common.materialize(pairs, "pairs")
+    sides = [pairs.withColumns({"component": F.col(c), "own": F.col(o), "side": F.lit(k)}) for k, (c, o) in enumerate([("ca", "oa"), ("cb", "ob")])]
+    both = sides[0].unionAll(sides[1]).join(full.select("component", "own", "vec"), ["component", "own"])
+    both = both.select("ca", "oa", "cb", "ob", "side", "vec").repartition("ca", "oa", "cb", "ob").sortWithinPartitions("ca", "oa", "cb", "ob", "side")
+    found = common.materialize(both.mapInArrow(_linked(cosine), "a bigint, b bigint").distinct(), "bridges")
+    if found.isEmpty():
+        return groups
+    to = components.components(found).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return groups.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def _count(cosine: float):
     """Links of each node within a component, from pairs of its blocks."""
 
@@ -250,6 +336,7 @@ def cluster(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     for search in range(SEARCHES):
         near = descend(own, size, orders, cosine, SEED + search).filter(F.col("sim") >= cosine)
         groups = common.materialize(components.components(near.select("a", "b")), "groups")
+        groups = common.materialize(joined(own, near, groups, cosine), "groups")
         counted = common.materialize(links(own, groups, cosine), "counted")
         if search + 1 == SEARCHES or audit(own, counted, cosine) >= RECALL:
             break

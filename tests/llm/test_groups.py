@@ -158,3 +158,19 @@ def test_embedding_query_recall(spark, sf):
     found = {r["vec_id"]: r["n_links"] for r in nn_descent.query(spark, f"/root/testdata/{sf}").collect()}
     assert all(found[r[0]] <= m for r, m in zip(rows, n, strict=True))
     assert sum(found.values()) >= 0.9 * sum(n)
+
+
+def test_tight_groups_next_to_each_other(spark):
+    """Lists that a group fills with its own vectors do not part it from the next."""
+    rng = np.random.default_rng(9)
+    one, across = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    two = 0.95 * one + (1 - 0.95**2) ** 0.5 * across
+    far = np.linalg.qr(np.stack([one, across, rng.normal(size=64)]).T)[0][:, 2]
+    x = np.concatenate([c + rng.normal(size=(300, 64)) * (0.003 / 64) ** 0.5 for c in (one, two, far)])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x.astype("float32"))]
+    n, c = brute_vectors(rows)
+    assert len(set(c)) == 2 and min(n[:600]) > 500
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    found = sorted(nn_descent.cluster(df).collect(), key=lambda r: r["vec_id"])
+    assert [r["n_links"] for r in found] == n
+    assert [r["component_id"] for r in found] == list(c)
