@@ -8,9 +8,10 @@ that is saturated with links grows fourfold. Tight groups can fill even that wit
 their own vectors and keep no entry of a group next to them, so components of
 saturated nodes are then compared exactly, wherever their centres and radii allow
 a link, and joined. Links are counted in the end within whole components, block
-against block. An audit compares a bounded sample of nodes with all others
-by brute force, and the search is repeated with longer lists while its recall
-is too low.
+against block. An audit compares a bounded sample of nodes, of those without and
+with few and many links, with all others by brute force. While the recall of a
+node is too low, another search with longer lists adds its links; after the last
+one, all pairs of a space are compared.
 
 Defined cases: vectors that are null, zero or hold a null or a number that is
 not finite, and rows without a label or an id, link with nothing; equal vectors
@@ -39,8 +40,9 @@ LIST, ORDERS, WINDOW, FROM_ORDER = 10, 10, 8, 3
 #: Rounds of refinement at most; they end when fewer entries than this share change.
 ROUNDS, SETTLED = 5, 0.01
 
-#: Nodes of the audit, the recall that it asks for, and searches at most.
-AUDIT, RECALL, SEARCHES = 256, 0.98, 3
+#: Nodes of the audit: without a link that was found, with less than ``LIST``
+#: links, with more; the recall that it asks for, and searches at most.
+AUDIT, RECALL, SEARCHES = (2048, 256, 256), 0.98, 3
 
 #: Vectors of a block in the last count.
 BLOCK = 512
@@ -290,40 +292,106 @@ def _count(cosine: float):
     return run
 
 
-def links(own: DataFrame, groups: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``(node, n)``: links of every node to others of its component, copies of
-    other vectors counted, by comparing the component's blocks two by two."""
+def _blocks(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every pair of a component's blocks, as the rows of both, in order."""
     size = groups.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
     rows = groups.join(size, "component").join(own, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("bigint"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "copies", "vec")
-    rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
-    return rows.mapInArrow(_count(cosine), "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    return rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node")
+
+
+def links(own: DataFrame, groups: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """``(node, n)``: links of every node to others of its component, copies of
+    other vectors counted, by comparing the component's blocks two by two."""
+    return _blocks(own, groups).mapInArrow(_count(cosine), "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect all that ``near`` connects."""
+    rows, cols = near.any(1), np.ones(near.shape[1], dtype=bool)
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    while rows.any():
+        front = np.array([rows.argmax()])
+        rows[front] = False
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & cols)
+            if not len(new):
+                break
+            cols[new] = False
+            a.append(front[near[np.ix_(front, new)].argmax(0)])
+            b.append(new)
+            front = np.flatnonzero(near[:, new].any(1) & rows)
+            rows[front] = False
+            a.append(front)
+            b.append(new[near[np.ix_(front, new)].argmax(1)])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def exact(own: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """``(a, b)``: links that connect all that links connect, by all pairs of a space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, spans in common.sorted_groups(batches, 3):
+            block, node = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            a, b = [], []
+            for i, j in spans:
+                x = _matrix(batch.column(6).slice(i, j - i), len(batch.column(6)[i].as_py()) // 8)
+                first, second = (np.flatnonzero(block[i:j] == batch.column(k)[i].as_py()) for k in (1, 2))
+                near = x[first] @ x[second].T >= cosine
+                if batch.column(1)[i].as_py() == batch.column(2)[i].as_py():
+                    np.fill_diagonal(near, False)
+                p, q = _forest(near)
+                a.append(node[i + first[p]])
+                b.append(node[i + second[q]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    whole = own.select("node", F.col("space").alias("component"))
+    return _blocks(own, whole).mapInArrow(run, "a bigint, b bigint")
 
 
 def audit(own: DataFrame, counted: DataFrame, cosine: float = COSINE) -> float:
-    """Recall of links on a bounded sample of nodes, against all by brute force."""
-    asked = own.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(AUDIT)
-    asked = asked.join(counted, "node", "left").select("node", "space", "vec", F.coalesce("n", F.lit(0)).alias("n")).collect()  # AUDIT rows
+    """Mean recall of the links of a node, over the nodes that have links, from
+    bounded samples of nodes by the links found, against all by brute force."""
+    found = own.join(counted, "node", "left").select("node", "space", "vec", F.coalesce("n", F.lit(0)).alias("n"))
+    found = found.withColumn("class", F.when(F.col("n") == 0, 0).when(F.col("n") < LIST, 1).otherwise(2))
+    size = {r["class"]: r["count"] for r in found.groupBy("class").count().collect()}
+    asked = []
+    for c, most in enumerate(AUDIT):
+        if c in size:
+            asked += found.filter(F.col("class") == c).orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(most).collect()
     shared = own.sparkSession.sparkContext.broadcast([(r["node"], r["space"], bytes(r["vec"])) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = np.zeros(len(shared.value), dtype=np.int64)
+        parts: dict[int, list[int]] = {}
+        for k, q in enumerate(shared.value):
+            parts.setdefault(q[1], []).append(k)
+        nodes_ = np.array([q[0] for q in shared.value], dtype=np.int64)
+        matrix = {s: _matrix(pa.array([shared.value[k][2] for k in ks]), len(shared.value[ks[0]][2]) // 8) for s, ks in parts.items()}
         for batch in batches:
             node, space, copies = (batch.column(k).to_numpy() for k in (0, 1, 3))
-            vec = batch.column(2)
-            for s in {q[1] for q in shared.value}:
-                at, part = np.flatnonzero(space == s), [q for q in shared.value if q[1] == s]
-                if len(at):
-                    dim = len(part[0][2]) // 8
-                    x, y = _matrix(vec.take(pa.array(at)), dim), _matrix(pa.array([q[2] for q in part]), dim)
-                    near = (x @ y.T >= cosine) & (node[at][:, None] != np.array([q[0] for q in part])[None, :])
-                    total += int((near * copies[at][:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
-
-    true = own.select("node", "space", "vec", "copies").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
-    return sum(r["n"] for r in asked) / true if true else 1.0
+            for s in np.unique(space).tolist():
+                if s not in parts:
+                    continue
+                every = np.flatnonzero(space == s)
+                for lo in range(0, len(every), 1024):
+                    at = every[lo : lo + 1024]
+                    x = _matrix(batch.column(2).take(pa.array(at)), matrix[s].shape[1])
+                    near = (matrix[s] @ x.T >= cosine) & (nodes_[parts[s]][:, None] != node[at][None, :])
+                    total[parts[s]] += near @ copies[at]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    true = own.select("node", "space", "vec", "copies").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    true = {r["k"]: r["n"] for r in true.collect()}  # one of each node asked
+    have = linked = 0.0
+    for c, n in size.items():
+        of = [k for k, r in enumerate(asked) if r["class"] == c]
+        have += n / len(of) * sum(min(1.0, asked[k]["n"] / true[k]) for k in of if k in true)
+        linked += n / len(of) * sum(k in true for k in of)
+    return have / linked if linked else 1.0
 
 
 def cluster(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -332,15 +400,19 @@ def cluster(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     # equal vectors are one node, with the number of its copies
     own = rows.groupBy("space", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     own = common.materialize(own, "nodes")
-    size, orders = LIST, ORDERS
+    size, orders, near = LIST, ORDERS, None
     for search in range(SEARCHES):
-        near = descend(own, size, orders, cosine, SEED + search).filter(F.col("sim") >= cosine)
-        groups = common.materialize(components.components(near.select("a", "b")), "groups")
+        more = descend(own, size, orders, cosine, SEED + search).filter(F.col("sim") >= cosine).select("a", "b")
+        near = more if near is None else common.materialize(near.unionAll(more).distinct(), "near")
+        groups = common.materialize(components.components(near), "groups")
         groups = common.materialize(joined(own, near, groups, cosine), "groups")
         counted = common.materialize(links(own, groups, cosine), "counted")
-        if search + 1 == SEARCHES or audit(own, counted, cosine) >= RECALL:
+        if audit(own, counted, cosine) >= RECALL:
             break
         size, orders = 2 * size, min(60, 2 * orders)
+    else:
+        groups = common.materialize(components.components(exact(own, cosine)), "groups")
+        counted = common.materialize(links(own, groups, cosine), "counted")
     named = own.join(groups, "node", "left").join(counted, "node", "left")
     named = named.select("space", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = rows.join(named, ["space", "vec"]).select(F.col("vec_id").alias("__id"), "n_links", "component_id")

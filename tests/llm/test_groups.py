@@ -174,3 +174,19 @@ def test_tight_groups_next_to_each_other(spark):
     found = sorted(nn_descent.cluster(df).collect(), key=lambda r: r["vec_id"])
     assert [r["n_links"] for r in found] == n
     assert [r["component_id"] for r in found] == list(c)
+
+
+def test_search_that_finds_nothing_is_not_returned(spark, monkeypatch):
+    """All pairs are compared where no search meets the audit, isolated pairs
+    beside a large group included."""
+    rng = np.random.default_rng(4)
+    x = [v for c in rng.normal(size=(20, 32)) for v in (c, c + 0.02 * rng.normal(size=32))]
+    x += list(rng.normal(size=32) + 0.02 * rng.normal(size=(100, 32)))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    n, c = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    descend = nn_descent.descend
+    monkeypatch.setattr(nn_descent, "SEARCHES", 1)
+    monkeypatch.setattr(nn_descent, "descend", lambda *a: descend(*a).filter("a >= 40 and b >= 40"))
+    found = sorted(nn_descent.cluster(df).collect(), key=lambda r: r["vec_id"])
+    assert [r["n_links"] for r in found] == n and [r["component_id"] for r in found] == list(c)
