@@ -48,7 +48,9 @@ SKIP_PRIOR = 400
 #: Features are hashed to so many weights a label.
 WIDTH = 1 << 12
 
-ROUNDS = 8
+#: Parallel rounds of messages, then sweeps over the document, at most; both end
+#: when no message changes by more than this.
+ROUNDS, SWEEPS, SETTLED = 16, 200, 1e-6
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -182,30 +184,52 @@ def observed(spans: list[tuple[int, int, int]], nodes: list[tuple[int, int]]) ->
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Posteriors by loopy sum-product message passing, in parallel rounds.
+    """Posteriors by loopy sum-product message passing, until messages settle.
 
     unary: log potentials by node and label; edges: pairs of nodes; pair: log
-    potentials by edge and the labels of its two ends."""
+    potentials by edge and the labels of its two ends. Parallel rounds settle
+    short documents; in others sweeps forth and back, each of which carries
+    evidence through the whole document, go on from their messages."""
     n, k = unary.shape
-    if not len(edges):
-        belief = unary.copy()
-    else:
+    belief = unary.copy()
+    if len(edges):
         e = len(edges)
         src = np.concatenate([edges[:, 0], edges[:, 1]])
         dst = np.concatenate([edges[:, 1], edges[:, 0]])
         table = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
         message = np.zeros((2 * e, k))
-        belief = unary.copy()
+
+        def sent(at):
+            s = (belief[src[at]] - message[back[at]])[..., :, None] + table[at]
+            top = s.max(-2, keepdims=True)
+            new = (top + np.log(np.exp(s - top).sum(-2, keepdims=True)))[..., 0, :]
+            return new - new.max(-1, keepdims=True)
+
+        change = 0.0
         for _ in range(rounds):
-            into = belief[src] - message[back]
-            s = into[:, :, None] + table
-            top = s.max(1, keepdims=True)
-            new = (top + np.log(np.exp(s - top).sum(1, keepdims=True)))[:, 0, :]
-            new -= new.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            step = 0.5 * (sent(slice(None)) - message)
+            change = np.abs(step).max()
+            message += step
             belief = unary.copy()
             np.add.at(belief, dst, message)
+            if change <= SETTLED:
+                break
+        if change > SETTLED:
+            # messages to later nodes in the order of their senders, then the others
+            ahead = src < dst
+            forth, other = np.flatnonzero(ahead), np.flatnonzero(~ahead)
+            order = [*forth[np.argsort(src[forth], kind="stable")].tolist(), *other[np.argsort(-src[other], kind="stable")].tolist()]
+            for sweep in range(SWEEPS):
+                change = 0.0
+                for m in order:
+                    # loops that do not settle soon are damped
+                    step = (sent(m) - message[m]) * (1.0 if sweep < 10 else 0.5)
+                    message[m] += step
+                    belief[dst[m]] += step
+                    change = max(change, np.abs(step).max())
+                if change <= SETTLED:
+                    break
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

@@ -107,3 +107,17 @@ def test_message_passing_matches_enumeration():
             p[i, y[i]] += w
     p /= p.sum(1, keepdims=True)
     assert np.allclose(pii.propagate(unary, edges, pair, rounds=60), p, atol=1e-6)
+
+
+def test_evidence_reaches_the_last_of_many_mentions():
+    """One observed mention and twenty like it, with the production setting."""
+    import numpy as np
+
+    unary = np.zeros((21, 5))
+    unary[0, :4] = -30
+    edges = np.array([[i, i + 1] for i in range(20)])
+    p = pii.propagate(unary, edges, np.array([np.eye(5) * 6] * 20))
+    # the chance that a walk over twenty links ends where it began
+    stay = (np.exp(6) - 1) / (np.exp(6) + 4)
+    assert np.allclose(p[:, 4], [0.2 + 0.8 * stay**i for i in range(21)], atol=1e-4)
+    assert p[20, 4] >= pii.POSTERIOR
