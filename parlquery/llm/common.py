@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -29,27 +30,79 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="parlquery-")  # only where no cluster names one
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        found = tempfile.mkdtemp(prefix="parlquery-")  # one machine alone
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a job's exchanges are removed from disk when the job has ended,
+    since what it wrote is what is read from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = new_path(df.sparkSession, name)
+    with tidy_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def at(spark: SparkSession, path: str):
+    """A path of whatever store, and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = at(spark, path)
+    return fs.exists(where)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these."""
+    for df in written:
+        if path := getattr(df, "_written_at", None):
+            where, fs = at(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """Column names like the stems that are not taken, in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for stem in stems:
+        while stem.lower() in used:
+            stem += "_"
+        used.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def with_fields(df: DataFrame, found: Column, fields: tuple[str, ...]) -> DataFrame:
+    """``df`` with the fields of a struct as columns; columns so named go."""
+    (name,) = fresh([*df.columns, *fields], "found")
+    done = df.withColumn(name, found)
+    return done.withColumns({c: F.col(name)[c] for c in fields}).drop(name)
 
 
 def text_udf(make: Callable[[], Callable], schema: str, kind: pa.DataType) -> Callable[..., Column]:
@@ -64,8 +117,6 @@ def text_udf(make: Callable[[], Callable], schema: str, kind: pa.DataType) -> Ca
     return F.arrow_udf(run, schema, F.ArrowUDFType.SCALAR_ITER)
 
 
-
-
 def sha256(text: str) -> str:
     """Lowercase hexadecimal SHA-256 of the UTF-8 text."""
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()

@@ -7,8 +7,10 @@ posterior probability of a pattern replaces a demand that every rule passes.
 There are at most ``3 ** len(RULES)`` patterns however large the corpus, so
 their counts are what the driver sees and what is joined back.
 
-Defined cases: a null or empty text has no words and fails the base; an empty
-table returns no rows; repeated rows are judged alike; extra columns stay.
+Defined cases: a null or empty text has no words and fails the base; a posterior
+equal to ``KEEP`` is kept; very long texts are read whole; an empty table returns
+no rows; repeated rows are judged alike; extra columns stay, ones named like
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -159,21 +161,22 @@ def judge(df: DataFrame, text: str = "text", carry: list[str] | None = None) ->
         return f
 
     own = (*_COUNTS, "base_failed", "p_good", "kept")
-    carried = [c for c in (df.columns if carry is None else carry) if c not in own]
-    rules = common.text_udf(make, schema, kind)(F.col(text)).alias("__rules")
-    done = common.materialize(df.select(*carried, rules), "quality")
-    found = done.groupBy("__rules.pattern").count().collect()  # at most 3 ** len(RULES) rows
+    carried = [c for c in (df.columns if carry is None else carry) if c.lower() not in own]
+    rules, key = common.fresh([*carried, *own], "rules", "pattern")
+    done = common.materialize(df.select(*carried, common.text_udf(make, schema, kind)(F.col(text)).alias(rules)), "quality")
+    pattern = F.col(rules)["pattern"]
+    found = done.groupBy(pattern.alias(key)).count().collect()  # at most 3 ** len(RULES) rows
     codes = np.array([r[0] for r in found], dtype=np.int64)
     post = fit(codes, np.array([r[1] for r in found])) if found else np.zeros(0)
     spark = df.sparkSession
-    by = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "__pattern bigint, p_good double")
-    out = done.join(F.broadcast(by), F.col("__rules.pattern") == F.col("__pattern"), "left")
+    by = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], f"{key} bigint, p_good double")
+    out = done.join(F.broadcast(by), pattern == F.col(key), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        out.withColumns({c: F.col(f"__rules.{c}") for c in _COUNTS})
+        out.withColumns({c: F.col(rules)[c] for c in _COUNTS})
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
-        .drop("__rules", "__pattern")
+        .drop(rules, key)
     )
 
 

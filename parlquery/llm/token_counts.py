@@ -8,8 +8,11 @@ the number of those pieces is computed beforehand. Reading a word then costs one
 step a byte, and no piece is ever built.
 
 Defined cases: a null or empty text has no words and no tokens; a word
-that the pieces cannot cover counts as one unknown token; an empty table returns
-no rows; extra columns stay.
+that the pieces cannot cover counts as one unknown token; of pieces that fit, the
+longest is taken, so there are no ties; very long texts and words are read whole,
+in time that grows with their length; repeated rows give repeated results; an
+empty table returns no rows; extra columns stay, ones named like outputs are
+replaced.
 """
 
 from __future__ import annotations
@@ -120,8 +123,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text") ->
 
     kind = pa.struct([("n_words", pa.int64()), ("n_tokens", pa.int64())])
     f = common.text_udf(make, "struct<n_words: bigint, n_tokens: bigint>", kind)
-    done = df.withColumn("__counts", f(F.col(text)))
-    return done.withColumns({c: F.col(f"__counts.{c}") for c in ("n_words", "n_tokens")}).drop("__counts")
+    return common.with_fields(df, f(F.col(text)), ("n_words", "n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,15 @@ of the last category also set the threshold.
 The models are fitted on at most ``TRAIN_ROWS`` labelled rows, which the hash of
 their ids chooses, and every text is scored whole.
 
+Only the last of the categories is toxicity; the one before it is the label of
+quality, the other one that the given labels have.
+
 Defined cases: a null or empty text has no words and the prior's probability; a
 category without labels of both kinds gets a constant probability; unlabelled
-and repeated label rows are allowed; an empty table returns no rows; extra
+and repeated label rows are allowed, a row that lacks one of the labels is none
+to learn from; ties at the sample's end go by the hash of what a row holds, a
+probability equal to the threshold is toxic; very long texts are read whole;
+repeated rows give repeated results; an empty table returns no rows; extra
 columns stay, ones named like outputs are replaced.
 """
 
@@ -205,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, doc_id: str
     f = common.text_udf(lambda: lambda x: features(x).tobytes(), "binary", pa.binary())
     chosen = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
     # repeated ids would let the sample grow
-    found = chosen.select("__id", f(F.col("__text")).alias("f"), *names).limit(2 * TRAIN_ROWS).collect()
+    rows = chosen.select("__id", f(F.col("__text")).alias("f"), *names)
+    found = rows.orderBy(F.xxhash64("__id", "f", *names), "__id", "f").limit(2 * TRAIN_ROWS).collect()
     found.sort(key=lambda r: (r["__id"], bytes(r["f"])))
     rows = [np.frombuffer(r["f"], dtype=np.int32) for r in found]
     return Chain.fit(rows, np.array([[r[n] for n in names] for r in found]).reshape(-1, len(names)), names)
@@ -225,8 +232,7 @@ def probabilities(df: DataFrame, chain: Chain, text: str = "text"):
 
 def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """Add ``p_<category>`` and ``toxic`` to every row."""
-    out = df.withColumn("__p", probabilities(df, chain, text))
-    out = out.withColumns({f"p_{n}": F.col(f"__p.p_{n}") for n in chain.names}).drop("__p")
+    out = common.with_fields(df, probabilities(df, chain, text), tuple(f"p_{n}" for n in chain.names))
     return out.withColumn("toxic", F.col(f"p_{chain.names[-1]}") >= chain.threshold)
 
 

@@ -44,3 +44,19 @@ def empty(spark):
 def documents(spark):
     """All documents at scale 0.001, as rows and as a frame."""
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+def doubling(work, n, most=3.2, tries=4):
+    """Whether twice the work takes about twice the time, in one of some tries;
+    time that grows with the square takes four times as long in all of them."""
+    import time
+
+    for _ in range(tries):
+        took = []
+        for k in (n, 2 * n):
+            began = time.process_time()
+            work(k)
+            took.append(time.process_time() - began)
+        if took[1] <= most * took[0] + 0.02:
+            return True
+    return False
