@@ -1,18 +1,27 @@
 """Operator 8: byte-pair encoding and decoding by tree concatenation.
 
-Text is normalised, cut at white space and into pieces as the vocabulary file
-asks, and each piece is merged by rank. A piece beyond ``LEAF`` symbols has no
-cut inside: it is halved down to leaves, which the tokenizers library encodes
-as one parallel batch, and joins are then made pairwise up the tree. A join
-re-encodes a window of tokens around it and doubles the window until its first
-and its last token are the ones that were there before; every pair of
-neighbours is then one that an encoding has already produced, which makes the
-whole sequence the encoding of the whole piece.
+A text of more than ``LEAF_TEXT`` characters is halved, wherever that cuts, down
+to leaves that are encoded on their own. Pairs of neighbours are joined up the
+tree: a join encodes a window around the cut anew, two stretches without white
+space on either side at first, and doubles it on a side until its outermost
+stretch there has the tokens that the part had before. White space parts
+pieces, so from there on the parts' own tokens are those of the whole text.
+
+A stretch is normalised and cut into pieces as the vocabulary file asks, and each
+piece is merged by rank. A piece beyond ``LEAF`` symbols, which has no cut inside,
+is a tree of its own: its leaves are encoded by the tokenizers library as one
+parallel batch, and a join re-encodes a window of tokens around it and doubles
+the window until its first and its last token are the ones that were there
+before; every pair of neighbours is then one that an encoding has already
+produced, which makes the whole sequence the encoding of the whole piece. A
+stretch that goes through a leaf from end to end is encoded once, when it ends.
 
 Defined cases: a null text is an empty one; an empty text has no token;
-special tokens' strings in a text become their ids, as the library has it;
-repeated rows give repeated results; columns other than the text stay as they
-are, and a column named like an output is replaced.
+special tokens' strings in a text become their ids, as the library has it; very
+long texts, with white space or without, are encoded whole; of pairs with equal
+rank the leftmost is merged first; repeated rows give repeated results; columns
+other than the text stay as they are, and a column named like an output is
+replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Symbols of a piece up to which it is merged directly.
-LEAF = 512
+#: Characters of a text, and symbols of a piece, up to which it is a leaf.
+LEAF_TEXT, LEAF = 8192, 512
 
 #: Entries of a memo of words and pieces; there are two at a time.
 MEMO_ENTRIES = 120_000
@@ -37,8 +46,13 @@ MEMO_ENTRIES = 120_000
 #: Token count, ids joined by spaces, tokens joined by spaces.
 Coded = tuple[int, str, str]
 
+#: Where a part of a text begins and ends, and the tokens of its stretches.
+Part = tuple[int, int, list[Coded] | None]
+
 #: Characters for which normalising is lower-casing alone.
 _PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
+_STRETCH = regex.compile(r"[^ \t\n\r]+")
+_STRETCH_BACK = regex.compile(r"(?r)[^ \t\n\r]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -58,7 +72,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """The encoder of one vocabulary file, with a memo of words."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, leaf_text: int = LEAF_TEXT):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -71,7 +85,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name.update((i, t) for t, i in self.special.items())
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.model, self.leaf, self.symbol = model, leaf, byte_symbols()
+        self.model, self.leaf, self.leaf_text, self.symbol = model, leaf, leaf_text, byte_symbols()
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -171,21 +185,67 @@ class WordBpe:
             found = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
         return self.remember(word, found)
 
-    def encode(self, text: str) -> Coded:
-        """Token count, the ids joined by spaces, and the decoded text."""
+    @staticmethod
+    def together(done: list[Coded]) -> Coded:
+        return sum([d[0] for d in done]), " ".join([d[1] for d in done if d[0]]), " ".join([d[2] for d in done if d[0]])
+
+    def flat(self, text: str) -> Coded:
+        """Special tokens, and between them the words that the normaliser leaves."""
         if "<|" in text and len(parts := self.cut.split(text)) > 1:
-            done = [(1, str(self.special[p]), p) if p in self.special else self.encode(p) for p in parts]
-            done = [d for d in done if d[0]]
-            return sum(d[0] for d in done), " ".join(d[1] for d in done), " ".join(d[2] for d in done)
+            return self.together([(1, str(self.special[p]), p) if p in self.special else self.flat(p) for p in parts])
         if _PLAIN.search(text):
-            text = self.whole.normalizer.normalize_str(text)
-            words = text.split(" ")
+            words = self.whole.normalizer.normalize_str(text).split(" ")
         else:
             words = text.lower().split()
         get, word = self.memo.get, self.word
-        done = [get(w) or word(w) for w in words]
-        n = sum([d[0] for d in done])
-        return n, " ".join([d[1] for d in done if d[0]]), " ".join([d[2] for d in done if d[0]])
+        return self.together([get(w) or word(w) for w in words])
+
+    def stretches(self, text: str) -> list[Coded]:
+        """The tokens of each stretch of a text without blanks, tabs and line ends."""
+        get, word = self.memo.get, self.word
+        if "<|" not in text and not _PLAIN.search(text):
+            return [get(w) or word(w) for w in text.lower().split()]
+        plain = lambda x: x.isascii() and x.isprintable() and "<|" not in x
+        return [get(x.lower()) or word(x.lower()) if plain(x) else self.flat(x) for x in _STRETCH.findall(text)]
+
+    def encode(self, text: str) -> Coded:
+        """Token count, the ids joined by spaces, and the decoded text."""
+        n, leaf = len(text), self.leaf_text
+        if n <= leaf:
+            return self.flat(text)
+        level = [self.part(text, a, min(n, a + leaf)) for a in range(0, n, leaf)]
+        while len(level) > 1:
+            pairs = [self.join_parts(text, a, b) for a, b in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + level[len(pairs) * 2 :]
+        done = level[0][2]
+        return self.flat(text) if done is None else self.together(done)
+
+    def part(self, text: str, a: int, b: int) -> Part:
+        """A leaf of a text, not encoded yet where one stretch fills it."""
+        m = _STRETCH.match(text, a, b)
+        return a, b, None if m and m.end() == b else self.stretches(text[a:b])
+
+    def join_parts(self, text: str, left: Part, right: Part) -> Part:
+        """One part of two neighbouring ones."""
+        (a, cut, one), (_, b, two) = left, right
+        if one is None and two is None:
+            return a, b, None
+        i = j = 1
+        while True:
+            # so many stretches on each side of the cut, or all of a side
+            p = q = cut
+            for _ in range(i):
+                m = one is not None and _STRETCH_BACK.search(text, a, p)
+                p = m.start() if m else a
+            for _ in range(j):
+                m = two is not None and _STRETCH.search(text, q, b)
+                q = m.end() if m else b
+            window = self.stretches(text[p:q])
+            on_left = one is None or i >= len(one) or window[0] == one[-i]
+            on_right = two is None or j >= len(two) or window[-1] == two[j - 1]
+            if on_left and on_right:
+                return a, b, (one[:-i] if one else []) + window + (two[j:] if two else [])
+            i, j = i if on_left else i * 2, j if on_right else j * 2
 
     def ids(self, text: str) -> list[int]:
         return [int(x) for x in self.encode(text)[1].split()]
@@ -231,9 +291,7 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> Da
 
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
-    done = df.withColumn("__bpe", common.text_udf(make, schema, kind)(F.col(text)))
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return done.withColumns({n: F.col(f"__bpe.{n}") for n in names}).drop("__bpe")
+    return common.with_fields(df, common.text_udf(make, schema, kind)(F.col(text)), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -255,8 +313,7 @@ def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> Dat
             yield pa.StructArray.from_arrays([pa.array(n[1:], pa.int64()), lists, pa.array(digests, pa.string())], fields=list(kind))
 
     f = F.arrow_udf(run, "struct<n_tokens: bigint, token_ids: array<int>, decoded_sha256: string>", F.ArrowUDFType.SCALAR_ITER)
-    done = df.withColumn("__bpe", f(F.col(text)))
-    return done.withColumns({c: F.col(f"__bpe.{c}") for c in ("n_tokens", "token_ids", "decoded_sha256")}).drop("__bpe", text)
+    return common.with_fields(df, f(F.col(text)), ("n_tokens", "token_ids", "decoded_sha256")).drop(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
