@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlquery.llm import bpe, token_counts, training_order
 from parlquery.llm.feistel import permute
@@ -61,6 +62,35 @@ def test_bpe_tree_equals_whole(tokenizer):
     agree(bpe.WordBpe(bpe.vocabulary_path()), tokenizer, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)))
 
 
+def test_text_tree_equals_whole(tokenizer):
+    """Cuts anywhere: within words, special tokens and marks of a letter."""
+    rng = random.Random(13)
+    parts = ["a", "B", "e\u0301", "\u0301", "İ", "<|endoftext|>", "<|", "|>", "\x85", "\xa0", "\u3000", " ", "  ", "\n", "\t", "\x0b", "数据", "😀", "it's", "'s", "'", "\x1c", "ΑΣ", "x" * 30, "12", "#"]
+    for leaf in (1, 3, 16):
+        small = bpe.WordBpe(bpe.vocabulary_path(), leaf=8, leaf_text=leaf)
+        for _ in range(500):
+            agree(small, tokenizer, "".join(rng.choice(parts) for _ in range(rng.randrange(70))))
+
+
+def test_long_documents_go_through_the_tree(spark, tokenizer, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("length(text) > 16000").collect()]
+    codec, joins = bpe.WordBpe(bpe.vocabulary_path()), []
+    inner = codec.join_parts
+    monkeypatch.setattr(codec, "join_parts", lambda *x: joins.append(1) or inner(*x))
+    assert texts
+    for text in texts:
+        joins.clear()
+        agree(codec, tokenizer, text)
+        assert len(joins) == -(-len(text) // bpe.LEAF_TEXT) - 1
+
+
+def test_encoding_time_grows_with_the_length():
+    from .conftest import doubling
+
+    for unit in ("x", "ab1 ", "数", "'s", "<|", "<|endoftext|>"):
+        assert doubling(lambda n, u=unit: bpe.WordBpe(bpe.vocabulary_path()).encode(u * n), 100_000 // len(unit)), unit
+
+
 def test_bpe_query(spark, documents, tokenizer):
     texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     found = bpe.query(spark, "/root/testdata/sf0.001").collect()
@@ -131,11 +161,21 @@ def test_permutation_is_a_bijection():
 
 def test_training_order(spark, documents, odd, empty, tmp_path):
     coder = training_order.ByteBpe(training_order.vocabulary_path())
-    for df in (documents, odd):
-        rows = training_order.in_order(training_order.sequences(df), shard_seq=64).collect()
+    for k, df in enumerate((documents, odd, odd.withColumnRenamed("lang", "slot").withColumnRenamed("n_chars", "shard"))):
+        path = str(tmp_path / f"shards{k}")
+        training_order.write(*training_order.slots(training_order.sequences(df)), path, shard_seq=64)
+        rows = training_order.read(spark, path, shard_seq=64).collect()
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-        stride = 2 * training_order.SEQ_LEN
-        assert all(len(r["record"]) == stride and r["shard"] == r["slot"] // 64 and r["byte_offset"] == r["slot"] % 64 * stride for r in rows)
+        ids, stride = 2 * training_order.SEQ_LEN, training_order.stride_of()
+        assert all(len(r["record"]) == ids and r["shard"] == r["slot"] // 64 and r["byte_offset"] == r["slot"] % 64 * stride for r in rows)
+        # the bytes of each slot are where it says, in the one file of its shard
+        files = {int(p.parent.name.removeprefix("shard=")): p for p in (tmp_path / f"shards{k}").glob("wave=*/shard=*/part-*")}
+        assert sorted(files) == list(range(-(-len(rows) // 64))) and len(list((tmp_path / f"shards{k}").glob("wave=*/shard=*/part-*"))) == len(files)
+        content = {s: p.read_bytes() for s, p in files.items()}
+        for r in rows:
+            at = r["byte_offset"] + training_order.HEAD_BYTES
+            assert content[r["shard"]][at : at + ids] == bytes(r["record"])
+            assert (np.frombuffer(r["record"], "<u2")[r["n_tokens"] :] == training_order.END).all()
         by = {}
         for r in rows:
             by.setdefault((r["doc_id"], r["seq_no"]), []).append(bytes(r["record"])[: 2 * r["n_tokens"]])
@@ -145,12 +185,29 @@ def test_training_order(spark, documents, odd, empty, tmp_path):
             ids = b"".join(v[0] for (d, _), v in sorted((x for x in by.items() if x[0][0] == r["doc_id"]), key=lambda x: x[0][1]))
             assert coder.decode(ids) == (r["text"] or "")
             assert np.frombuffer(ids, "<u2").tolist() == coder.coder.encode_ordinary(r["text"] or "")
-    assert training_order.in_order(training_order.sequences(empty)).count() == 0
-    ordered = training_order.in_order(training_order.sequences(documents), shard_seq=64)
+    seqs = training_order.sequences(empty)
+    training_order.write(*training_order.slots(seqs), str(tmp_path / "none"))
+    assert training_order.read(spark, str(tmp_path / "none")).count() == 0 and list(training_order.resume(spark, str(tmp_path / "none"))) == []
+    names = documents.limit(3).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r["doc_id"] for r in training_order.sequences(names).collect()} == {None}
+
+
+def test_reading_and_writing_go_on(spark, documents, tmp_path):
+    """A reader starts at any slot; a killed writer's whole waves stay."""
     path = str(tmp_path / "shards")
-    training_order.write(ordered, path)
-    total = ordered.count()
-    resumed = [r["slot"] for r in training_order.resume(spark, path, 70).select("slot").collect()]
-    assert resumed == list(range(70, total))
-    again = [(r["slot"], r["doc_id"], r["seq_no"]) for r in training_order.in_order(training_order.sequences(documents), shard_seq=64).collect()]
-    assert sorted(again) == sorted((r["slot"], r["doc_id"], r["seq_no"]) for r in ordered.collect())
+    rows, total = training_order.slots(training_order.sequences(documents))
+    training_order.write(rows, total, path, shard_seq=32)
+    want = {r["slot"]: bytes(r["record"]) for r in training_order.read(spark, path, shard_seq=32).collect()}
+    for slot in (0, 31, 32, 70, total - 1, total):
+        assert list(training_order.resume(spark, path, slot, shard_seq=32, ahead=7)) == [(s, want[s]) for s in range(slot, total)]
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("wave=[013]/shard=*/part-*")}
+    (tmp_path / "shards" / "wave=2" / "_SUCCESS").unlink()
+    next((tmp_path / "shards").glob("wave=2/shard=*/part-*")).unlink()
+    training_order.write(rows, total, path, shard_seq=32)
+    assert {p: p.stat().st_mtime_ns for p in kept} == kept
+    assert {r["slot"]: bytes(r["record"]) for r in training_order.read(spark, path, shard_seq=32).collect()} == want
+
+
+def test_training_order_query(spark, documents):
+    a, b = (sorted((r["slot"], r["doc_id"], r["seq_no"]) for r in training_order.query(spark, "/root/testdata/sf0.001").collect()) for _ in range(2))
+    assert a == b and [x[0] for x in a] == list(range(len(a)))
