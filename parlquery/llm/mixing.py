@@ -9,12 +9,18 @@ exactly. That gives every source a quota of blocks. A tree splits the quotas
 among the output shards: at each node the left half draws its blocks from the
 sources by a multivariate hypergeometric, so that all leaves together hold the
 exact quotas. A source's blocks are permuted, and a leaf takes the range that
-its draws say, shuffled locally.
+its draws say; a row is taken as often as leaves took its block. Within a shard,
+rows of all its blocks are in an order of their own hashes.
+
+There may be ``SOURCES`` sources; more raise an error. Blocks and shards get
+larger beyond ``BLOCKS`` blocks and ``LEAF_CELLS`` cells, which changes neither
+quotas nor what is taken of a row, only what stands together.
 
 Defined cases: a null text has no words; a null source is one of its own, the
 last; a table without words has targets of zero; rows that are repeated as a
-whole at the cut share what is left equally; extra columns stay; an empty table
-returns no rows.
+whole at the cut share what is left equally; very long texts are counted whole
+and belong to one block; rows whose hashes tie are ordered by their ids; extra
+columns stay, whatever their names; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ SEED = 20_240
 
 #: Cells (sources times shards) of the tree's leaves at most; beyond it shards
 #: get larger, so that what is broadcast stays within 8 bytes times this.
-LEAF_CELLS = 1 << 20
+LEAF_CELLS = SOURCES = 1 << 20
 
 
 def words(text: str = "text") -> Column:
@@ -98,7 +104,9 @@ def plan(sizes: DataFrame) -> DataFrame:
     cut = cut.select(F.col("sid").alias("k"), F.col("place").alias("cut"), F.floor((F.col("left") - F.col("upto") + F.col("w")) / F.col("m")).cast("bigint").alias("part"))
     out = by.join(cut, F.col("sid") == F.col("k"), "left").drop("k")
     last = F.when(F.col("cut").isNotNull(), block("cut") + 1).otherwise(0)
-    return common.materialize(out.withColumn("quota_blocks", F.col("passes") * F.col("blocks") + last), "mix-plan")
+    out = common.materialize(out.withColumn("quota_blocks", F.col("passes") * F.col("blocks") + last), "mix-plan")
+    common.discard(by)
+    return out
 
 
 def block(place: str = "place") -> Column:
@@ -131,39 +139,59 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def placements(plan_: DataFrame, seed: int = SEED) -> DataFrame:
-    """``(sid, block, cells)``: for every block of a source that is taken, the
-    passes that take it with the shard and the order within the shard."""
-    rows = plan_.select("sid", "quota_blocks").orderBy("sid").collect()  # a number for each source
-    quotas = np.array([r[1] for r in rows], dtype=np.int64)
-    shards = int(max(1, min(-(-int(quotas.sum()) // SHARD_BLOCKS), LEAF_CELLS // max(1, len(rows)))))
-    ends = np.cumsum(split(quotas, shards, seed), axis=0) if len(rows) else np.zeros((1, 0), dtype=np.int64)
-    shared = plan_.sparkSession.sparkContext.broadcast((ends, quotas))  # at most LEAF_CELLS numbers and the quotas
+class Leaves:
+    """The tree's leaves: upper ends of each shard's range of a source's permuted
+    blocks, and the quotas."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, quotas = shared.value
-        for batch in batches:
-            sid, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shard, slot = np.zeros(len(j), dtype=np.int64), np.zeros(len(j), dtype=np.int64)
-            for s in np.unique(sid):
-                own = sid == s
-                to = permute(j[own], int(quotas[s - 1]), seed * 1009 + int(s))
-                shard[own] = np.searchsorted(ends[:, s - 1], to, side="right")
-                slot[own] = permute(to, int(quotas[s - 1]), seed * 2003 + int(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(shard), pa.array(slot)], names=["sid", "j", "blocks", "shard", "slot"])
+    def __init__(self, quotas: np.ndarray, seed: int = SEED):
+        self.quotas, self.seed = quotas, seed
+        self.shards = int(max(1, min(-(-int(quotas.sum()) // SHARD_BLOCKS), LEAF_CELLS // max(1, len(quotas)))))
+        self.ends = np.cumsum(split(quotas, self.shards, seed), axis=0)
+
+    @classmethod
+    def of(cls, plan_: DataFrame, seed: int = SEED) -> Leaves:
+        rows = plan_.select("sid", "quota_blocks").orderBy("sid").limit(SOURCES + 1).collect()  # SOURCES at most
+        if len(rows) > SOURCES:
+            raise ValueError(f"more than {SOURCES} sources")
+        return cls(np.array([r[1] for r in rows], dtype=np.int64), seed)
 
-    taken = plan_.filter("quota_blocks > 0").select(F.col("sid").cast("bigint").alias("sid"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota_blocks") - 1)).alias("j"), "blocks")
-    cells = taken.mapInArrow(place, "sid bigint, j bigint, blocks bigint, shard bigint, slot bigint")
-    cell = F.struct(F.floor(F.col("j") / F.col("blocks")).cast("int").alias("pass"), "shard", "slot")
-    return cells.groupBy("sid", (F.col("j") % F.col("blocks")).alias("block")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    def shard(self, sid: int, draws: np.ndarray) -> np.ndarray:
+        """The shards that take draws (pass times blocks, and block) of a source."""
+        to = permute(draws, int(self.quotas[sid - 1]), self.seed * 1009 + sid)
+        return np.searchsorted(self.ends[:, sid - 1], to, side="right")
+
+
+def cells(leaves: Leaves, spark: SparkSession) -> Column:
+    """The passes that take a row's block, with the shards that they go to."""
+    shared = spark.sparkContext.broadcast(leaves)  # LEAF_CELLS and SOURCES numbers at most
+    kind = pa.list_(pa.struct([("pass", pa.int32()), ("shard", pa.int64())]))
+
+    def place(batches: Iterator[pa.StructArray]) -> Iterator[pa.Array]:
+        leaves = shared.value
+        for batch in batches:
+            sid, own, blocks, quota = (batch.field(k).to_numpy() for k in range(4))
+            # passes: every draw below the quota that leads to the block
+            times = np.maximum(0, -(-(quota - own) // blocks))
+            row = np.repeat(np.arange(len(sid)), times)
+            which = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            draw, shard = which * blocks[row] + own[row], np.zeros(len(row), dtype=np.int64)
+            for s in np.unique(sid[row]).tolist():
+                at = np.flatnonzero(sid[row] == s)
+                shard[at] = leaves.shard(s, draw[at])
+            items = pa.StructArray.from_arrays([pa.array(which.astype(np.int32)), pa.array(shard)], fields=list(kind.value_type))
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)).astype(np.int32)), items)
+
+    f = F.arrow_udf(place, "array<struct<pass: int, shard: bigint>>", F.ArrowUDFType.SCALAR_ITER)
+    return f(F.struct("sid", "block", "blocks", "quota_blocks"))
 
 
 def decide(rows: DataFrame, plan_: DataFrame) -> DataFrame:
-    """Add source_size, target and taken to rows with source, size and place."""
-    own = plan_.select(F.col("source").alias("__s"), F.col("sid").cast("bigint").alias("sid"), "source_size", "target", "passes", "blocks", "cut", "part")
+    """Add to rows with source, size and place what the plan says of their source,
+    their block, the words of the last pass, and the cells that take the block."""
+    own = plan_.select(F.col("source").alias("own_source"), F.col("sid").cast("bigint").alias("sid"), "source_size", "target", "passes", "blocks", "quota_blocks", "cut", "part")
     last = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.least("size", "part")).otherwise(0)
-    out = rows.join(own, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    return out.withColumn("last", last).withColumn("taken", F.col("passes") * F.col("size") + F.col("last"))
+    out = rows.join(own, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source").withColumn("block", block())
+    return out.withColumn("last", last).withColumn("cells", cells(Leaves.of(plan_), rows.sparkSession))
 
 
 def sized(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -175,27 +203,39 @@ def sized(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def mix(sizes: DataFrame) -> DataFrame:
     """Every row with its words, its source's words and target, the words that
     the mix takes, and the shards that its passes go to."""
-    decided = decide(sizes, p := plan(sizes)).withColumn("block", block())
-    at = placements(p).withColumnRenamed("sid", "k").withColumnRenamed("block", "kb")
-    out = decided.join(at, (F.col("sid") == F.col("k")) & (F.col("block") == F.col("kb")), "left")
+    out = decide(sizes, plan(sizes))
+    # the block of the cut is taken, but of its rows not all
     whole = F.filter("cells", lambda c: (c["pass"] < F.col("passes")) | (F.col("last") > 0))
-    return out.withColumn("cells", F.coalesce(whole, F.array())).drop("k", "kb")
+    words_of = F.aggregate("cells", F.lit(0).cast("bigint"), lambda n, c: n + F.when(c["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("last")))
+    return out.withColumn("cells", whole).withColumn("taken", words_of)
+
+
+def dealt(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``(shard, slot, row)``: the rows of ``df`` (as structs), each as often as
+    the mix takes it, dealt out by shard and in the order of slots within each.
+    Rows at a cut are taken whole if half of their words or more is to be, else
+    not at all."""
+    sizes = sized(df, doc_id, source, text)
+    plan_ = plan(sizes)
+    common.discard(sizes)
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
+    rows = decide(rows.withColumn("place", order()), plan_)
+    half = F.when(F.col("place") < F.col("cut"), F.col("size") > 0).otherwise((F.col("last") > 0) & (2 * F.col("part") >= F.col("size")))
+    taken = F.filter("cells", lambda c: (c["pass"] < F.col("passes")) | half)
+    rows = rows.select("row", "sid", "block", "doc_id", "size", F.explode(taken).alias("c"))
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "c.shard", "sid", "block", "c.pass", "doc_id", "size"), 1)
+    rows = rows.select(F.col("c.shard").alias("shard"), slot.alias("slot"), "doc_id", "row")
+    # a shard is cut into ranges of slots, as many as the session wants tasks
+    shards = Leaves.of(plan_).shards
+    pieces = max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    piece = F.least(F.floor(F.col("slot") / F.lit(float(1 << 63)) * pieces), F.lit(pieces - 1))
+    rows = rows.repartitionById(shards * pieces, (F.col("shard") * pieces + piece).cast("int"))
+    return rows.sortWithinPartitions("shard", "slot", "doc_id").select("shard", "slot", "row")
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it. Rows at a cut are
-    taken whole if half of their words or more is to be, else not at all."""
-    plan_ = plan(sized(df, doc_id, source, text))
-    rows = df.withColumns({"__source": F.col(source), "__size": words(text)})
-    rows = rows.withColumn("__place", order(doc_id, "__size"))
-    own = plan_.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("passes", "cut", "part")])
-    out = rows.join(own, F.col("__source").eqNullSafe(F.col("__s")))
-    last = F.when(F.col("__place") < F.col("__cut"), F.col("__size") > 0)
-    last = last.when(F.col("__place") == F.col("__cut"), (F.col("__part") > 0) & (2 * F.col("__part") >= F.col("__size"))).otherwise(False)
-    times = F.col("__passes") + last.cast("int")
-    out = out.withColumn("__times", times).filter("__times > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*df.columns)
+    """The rows of ``df``, each as often as the mix takes it, shard after shard."""
+    return dealt(df, doc_id, source, text).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,19 +134,54 @@ def test_mix_shards_are_disjoint_and_whole(spark, monkeypatch):
         assert passes == list(range(len(passes)))
         if r["size"]:
             assert len(passes) == -(-r["taken"] // r["size"])
-    slots = defaultdict(set)
+    shards = defaultdict(set)
     for r in rows:
         for c in r["cells"]:
-            slots[(r["sid"], c["slot"])].add((c["pass"], r["block"], c["shard"]))
-    assert all(len(v) == 1 for v in slots.values())
+            shards[(r["sid"], r["block"], c["pass"])].add(c["shard"])
+    assert all(len(v) == 1 for v in shards.values())
+
+
+def test_shards_hold_what_the_tree_draws(spark, monkeypatch):
+    """Blocks by shard and source against the tree's own leaves, taken words by
+    counting cells, and rows in their shards' orders, each as often as taken."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    df = frame(spark, [" ".join(["w"] * (1 + k % 9)) for k in range(700)])
+    plan = mixing.plan(mixing.sized(df))
+    quotas = np.array([r[0] for r in plan.orderBy("sid").select("quota_blocks").collect()])
+    leaves = mixing.Leaves(quotas)
+    tree = mixing.split(quotas, leaves.shards)
+    drawn = np.zeros_like(tree)
+    for sid, n in enumerate(quotas.tolist(), 1):
+        for shard in leaves.shard(sid, np.arange(n)).tolist():
+            drawn[shard, sid - 1] += 1
+    assert leaves.shards > 3 and (drawn == tree).all()
+    rows = mixing.mix(mixing.sized(df)).collect()
+    for r in rows:
+        draws = [p * r["blocks"] + r["block"] for p in range(4) if p * r["blocks"] + r["block"] < r["quota_blocks"]]
+        assert r["taken"] == sum(r["size"] if d // r["blocks"] < r["passes"] else r["last"] for d in draws)
+        assert [c["shard"] for c in r["cells"]] == leaves.shard(r["sid"], np.array(draws))[: len(r["cells"])].tolist()
+    want = {r["doc_id"]: sorted(c["shard"] for c in r["cells"] if c["pass"] < r["passes"] or 2 * r["last"] >= r["size"]) for r in rows}
+    dealt = mixing.dealt(df).collect()
+    got = defaultdict(list)
+    for r in dealt:
+        got[r["row"]["doc_id"]].append(r["shard"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    order = [(r["shard"], r["slot"]) for r in dealt]
+    assert order == sorted(order)
+    sources = [[r["row"]["source"] for r in dealt if r["shard"] == s] for s in range(leaves.shards)]
+    assert all(len(set(x[: len(x) // 2])) > 1 for x in sources)
+    assert [r["row"]["doc_id"] for r in mixing.dealt(df.repartition(5)).collect()] == [r["row"]["doc_id"] for r in dealt]
 
 
 def test_mix_on_odd_rows(odd, empty):
     assert mixing.mix(mixing.sized(odd)).count() == odd.count()
     check_mix([(r["source"], r["text"]) for r in odd.collect()], mixing.mix(mixing.sized(odd)).collect())
     assert mixing.mix(mixing.sized(empty)).count() == 0 and mixing.mixed(empty).count() == 0
-    clash = odd.withColumnRenamed("lang", "sid").withColumnRenamed("n_chars", "taken")
-    assert mixing.mixed(clash).columns == clash.columns
+    for names in (("sid", "taken"), ("cells", "row"), ("size", "__s"), ("slot", "shard")):
+        clash = odd.withColumnRenamed("lang", names[0]).withColumnRenamed("n_chars", names[1])
+        assert mixing.mixed(clash).columns == clash.columns
+        assert sorted((r["doc_id"], r[names[1]]) for r in mixing.mixed(clash).filter("doc_id > 0").collect()) == sorted((r["doc_id"], r["n_chars"]) for r in mixing.mixed(odd).filter("doc_id > 0").collect())
     blank = odd.filter("text is null")
     assert {r["taken"] for r in mixing.mix(mixing.sized(blank)).collect()} == {0}
 
@@ -177,7 +212,9 @@ def test_quality_counts(spark, documents, odd, empty):
     for r in quality.judge(odd).collect():
         assert tuple(r[c] for c in names) == brute_quality(r["text"])
     assert quality.judge(empty).count() == 0
-    assert sorted(quality.judge(odd.withColumnRenamed("lang", "kept")).columns).count("kept") == 1
+    clash = quality.judge(odd.withColumnRenamed("lang", "Kept").withColumnRenamed("source", "rules").withColumnRenamed("n_chars", "P_GOOD"))
+    assert sorted(c.lower() for c in clash.columns).count("kept") == 1 and clash.count() == odd.count()
+    assert dict(clash.dtypes)["rules"] == "string" and "P_GOOD" not in clash.columns
 
 
 def test_quality_counts_on_noise():
