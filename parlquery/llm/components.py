@@ -43,4 +43,6 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     else:
         raise RuntimeError("components did not settle")
     centre = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(centre.select("node", F.col("node").alias("component")))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(centre.select("node", F.col("node").alias("component")))
+    out._written_at = now._written_at
+    return out

@@ -9,14 +9,18 @@ their own vectors and keep no entry of a group next to them, so components of
 saturated nodes are then compared exactly, wherever their centres and radii allow
 a link, and joined. Links are counted in the end within whole components, block
 against block. An audit compares a bounded sample of nodes, of those without and
-with few and many links, with all others by brute force. While the recall of a
-node is too low, another search with longer lists adds its links; after the last
-one, all pairs of a space are compared.
+with few and many links, with all others by brute force. While the share of a
+node's links that was found is too low, another search with longer lists adds its
+links; after the last one, all pairs of a space are compared.
 
 Defined cases: vectors that are null, zero or hold a null or a number that is
 not finite, and rows without a label or an id, link with nothing; equal vectors
 of a label are links of one another; vectors of different lengths have no cosine
-and are kept apart; an empty table returns no rows.
+and are kept apart; very long vectors are compared whole; a cosine equal to the
+threshold is a link; of equally near neighbours a list takes those with the
+smaller ids; rows that repeat an id are one point with several vectors, which has
+the links of all of them; extra columns are not read, whatever their names; an
+empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ LIST, ORDERS, WINDOW, FROM_ORDER = 10, 10, 8, 3
 ROUNDS, SETTLED = 5, 0.01
 
 #: Nodes of the audit: without a link that was found, with less than ``LIST``
-#: links, with more; the recall that it asks for, and searches at most.
-AUDIT, RECALL, SEARCHES = (2048, 256, 256), 0.98, 3
+#: links, with more; the share that it asks for, and searches at most.
+AUDIT, SHARE, SEARCHES = (2048, 256, 256), 0.98, 3
 
 #: Vectors of a block in the last count.
 BLOCK = 512
@@ -180,7 +184,9 @@ def descend(own: DataFrame, size: int, orders: int, cosine: float = COSINE, seed
         lists = new
         if fresh <= SETTLED * total:
             break
-    return lists.select("a", "b", "sim")
+    out = lists.select("a", "b", "sim")
+    out._written_at = lists._written_at
+    return out
 
 
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +267,7 @@ def joined(own: DataFrame, near: DataFrame, groups: DataFrame, cosine: float = C
     both = sides[0].unionAll(sides[1]).join(full.select("component", "own", "vec"), ["component", "own"])
     both = both.select("ca", "oa", "cb", "ob", "side", "vec").repartition("ca", "oa", "cb", "ob").sortWithinPartitions("ca", "oa", "cb", "ob", "side")
     found = common.materialize(both.mapInArrow(_linked(cosine), "a bigint, b bigint").distinct(), "bridges")
+    common.discard(full, centres, pairs)
     if found.isEmpty():
         return groups
     to = components.components(found).select(F.col("node").alias("component"), F.col("component").alias("to"))
@@ -352,8 +359,8 @@ def exact(own: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def audit(own: DataFrame, counted: DataFrame, cosine: float = COSINE) -> float:
-    """Mean recall of the links of a node, over the nodes that have links, from
-    bounded samples of nodes by the links found, against all by brute force."""
+    """Mean share of the links of a node that was found, over the nodes that have
+    links, from bounded samples of nodes by the links found, against all by brute force."""
     found = own.join(counted, "node", "left").select("node", "space", "vec", F.coalesce("n", F.lit(0)).alias("n"))
     found = found.withColumn("class", F.when(F.col("n") == 0, 0).when(F.col("n") < LIST, 1).otherwise(2))
     size = {r["class"]: r["count"] for r in found.groupBy("class").count().collect()}
@@ -396,30 +403,41 @@ def audit(own: DataFrame, counted: DataFrame, cosine: float = COSINE) -> float:
 
 def cluster(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
+    return audited(df, vec_id, embedding, label, cosine)[0]
+
+
+def audited(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> tuple[DataFrame, float]:
+    """The rows of ``cluster``, and the share of links found that the audit of the
+    search behind them gave; 1 where all pairs were compared."""
     rows = common.materialize(nodes(df, vec_id, embedding, label), "vectors")
     # equal vectors are one node, with the number of its copies
     own = rows.groupBy("space", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     own = common.materialize(own, "nodes")
-    size, orders, near = LIST, ORDERS, None
+    size, orders, near, share = LIST, ORDERS, None, 0.0
     for search in range(SEARCHES):
-        more = descend(own, size, orders, cosine, SEED + search).filter(F.col("sim") >= cosine).select("a", "b")
-        near = more if near is None else common.materialize(near.unionAll(more).distinct(), "near")
-        groups = common.materialize(components.components(near), "groups")
-        groups = common.materialize(joined(own, near, groups, cosine), "groups")
+        lists = descend(own, size, orders, cosine, SEED + search)
+        more = lists.filter(F.col("sim") >= cosine).select("a", "b")
+        before, near = near, common.materialize(more if near is None else near.unionAll(more).distinct(), "near")
+        parts = components.components(near)
+        groups = common.materialize(joined(own, near, parts, cosine), "groups")
         counted = common.materialize(links(own, groups, cosine), "counted")
-        if audit(own, counted, cosine) >= RECALL:
+        common.discard(lists, parts, *([before] if before is not None else []))
+        share = audit(own, counted, cosine)
+        if share >= SHARE:
             break
+        common.discard(groups, counted)
         size, orders = 2 * size, min(60, 2 * orders)
     else:
         groups = common.materialize(components.components(exact(own, cosine)), "groups")
-        counted = common.materialize(links(own, groups, cosine), "counted")
+        counted, share = common.materialize(links(own, groups, cosine), "counted"), 1.0
+    common.discard(near)
     named = own.join(groups, "node", "left").join(counted, "node", "left")
     named = named.select("space", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = rows.join(named, ["space", "vec"]).select(F.col("vec_id").alias("__id"), "n_links", "component_id")
     linked = linked.groupBy("__id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = df.select(F.col(vec_id).alias("vec_id")).join(linked, F.col("vec_id") == F.col("__id"), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")), share
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

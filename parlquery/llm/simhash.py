@@ -200,6 +200,7 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     firsts = by.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component_fp"))
     least = firsts.groupBy("component_fp").agg(F.min("first").alias("component_id"))
     named = common.materialize(firsts.join(least, "component_fp").select("fp", "component_id", "component_fp"), "named-print")
+    common.discard(by, groups)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "component_fp")
 
 
@@ -207,19 +208,20 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """The rows of ``df`` that stay: of each component the one with its smallest
     id, with all their columns."""
     found = common.materialize(cluster(df, doc_id, text), "clustered")
+    own, times, fp, component = common.fresh(df.columns, "own", "times", "fp", "component")
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = common.materialize(first, "kept-ids").select(F.col("doc_id").alias("__first"), F.col("n").alias("__n"))
-    once, again = first.filter("__n = 1"), first.filter("__n > 1")
+    first = common.materialize(first, "kept-ids").select(F.col("doc_id").alias(own), F.col("n").alias(times))
+    once, again = first.filter(F.col(times) == 1), first.filter(F.col(times) > 1)
     # ids grow with the rows, so they are never sent to every task, however few
-    kept = df.join(once.hint("shuffle_hash"), df[doc_id] == F.col("__first"), "left_semi")
+    kept = df.join(once.hint("shuffle_hash"), df[doc_id] == F.col(own), "left_semi")
     # rows that share an id, and those without one, are few: they alone are grouped
     if not again.isEmpty():
-        many = df.join(again, df[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
+        many = df.join(again, df[doc_id] == F.col(own), "left_semi").dropDuplicates([doc_id])
         kept = kept.unionAll(many)
-    nameless = found.filter("component_id is null").select(F.col("fp").alias("__f"), F.col("component_fp").alias("__c")).distinct()
+    nameless = found.filter("component_id is null").select(F.col("fp").alias(own), F.col("component_fp").alias(component)).distinct()
     if not nameless.isEmpty():
-        rows = fingerprints(df.filter(F.col(doc_id).isNull()), text, "__fp").join(nameless, F.col("__fp") == F.col("__f"))
-        kept = kept.unionAll(rows.dropDuplicates(["__c"]).select(*df.columns))
+        rows = fingerprints(df.filter(F.col(doc_id).isNull()), text, fp).join(nameless, F.col(fp) == F.col(own))
+        kept = kept.unionAll(rows.dropDuplicates([component]).select(*df.columns))
     return kept
 
 

@@ -94,8 +94,9 @@ def test_simhash_keeps_one_of_each_group(spark, odd, empty):
     assert sorted(r["doc_id"] for r in kept) == sorted(best.values())
     nameless = frame(spark, ["only here and nowhere else at all", "only here and nowhere else at all", "x y z"]).withColumn("doc_id", F.lit(None).cast("bigint"))
     assert sorted(r["text"] for r in simhash.keep_one(nameless).collect()) == ["only here and nowhere else at all", "x y z"]
-    clash = odd.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id")
+    clash = odd.withColumnRenamed("lang", "fp").withColumnRenamed("source", "component_id").withColumnRenamed("n_chars", "OWN")
     assert simhash.keep_one(clash).columns == clash.columns
+    assert sorted(r["doc_id"] for r in simhash.keep_one(clash).collect()) == sorted(best.values())
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -141,8 +142,8 @@ def test_embeddings_with_odd_rows(spark):
     found = {r["vec_id"]: r for r in nn_descent.cluster(df).collect()}
     assert len(found) == len(rows)
     ids = [r[0] for r in rows]
-    recall = sum(found[i]["n_links"] for i in ids) / sum(n)
-    assert 0.99 <= recall <= 1
+    share = sum(found[i]["n_links"] for i in ids) / sum(n)
+    assert 0.99 <= share <= 1
     assert all(found[i]["n_links"] <= m for i, m in zip(ids, n, strict=True))
     assert all(found[i]["component_id"] == ids[g] for i, g in zip(ids, c, strict=True) if found[i]["n_links"] == n[ids.index(i)])
     assert all(found[i]["kept"] == (found[i]["component_id"] == i) for i in ids)
@@ -152,7 +153,7 @@ def test_embeddings_with_odd_rows(spark):
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
-def test_embedding_query_recall(spark, sf):
+def test_embedding_query_finds_links(spark, sf):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
     n, _ = brute_vectors(rows)
     found = {r["vec_id"]: r["n_links"] for r in nn_descent.query(spark, f"/root/testdata/{sf}").collect()}
@@ -160,6 +161,13 @@ def test_embedding_query_recall(spark, sf):
     assert sum(found.values()) >= 0.9 * sum(n)
 
 
+def test_repeated_ids_and_extra_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, "a"), (1, [0.0, 1.0], 0, "b"), (2, [1.0, 0.01], 0, "c"), (2, [1.0, 0.01], 0, "c"), (3, [0.01, 1.0], 0, "d"), (4, [-1.0, 0.0], 0, "e")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, n_links string")
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in nn_descent.cluster(df).collect())
+    assert found == [(1, 3, 1, True), (1, 3, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_tight_groups_next_to_each_other(spark):
     """Lists that a group fills with its own vectors do not part it from the next."""
     rng = np.random.default_rng(9)
@@ -188,5 +196,6 @@ def test_search_that_finds_nothing_is_not_returned(spark, monkeypatch):
     descend = nn_descent.descend
     monkeypatch.setattr(nn_descent, "SEARCHES", 1)
     monkeypatch.setattr(nn_descent, "descend", lambda *a: descend(*a).filter("a >= 40 and b >= 40"))
-    found = sorted(nn_descent.cluster(df).collect(), key=lambda r: r["vec_id"])
-    assert [r["n_links"] for r in found] == n and [r["component_id"] for r in found] == list(c)
+    out, share = nn_descent.audited(df)
+    found = sorted(out.collect(), key=lambda r: r["vec_id"])
+    assert share == 1.0 and [r["n_links"] for r in found] == n and [r["component_id"] for r in found] == list(c)
