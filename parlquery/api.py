@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import model
 from .functions.vector import Embedder
@@ -17,15 +18,17 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None, embedder: Embedder | None = None):
         self.spark, self.house, self.embedder = spark, Warehouse(spark, path), embedder
 
-    def index(self, roots: dict[str, str] | None = None, force: bool = False, budget: int | None = None) -> indexing.IndexStats:
+    def index(self, roots: dict[str, str] | None = None, force: bool = False, budget: int | None = None, token_budget: int | None = None) -> indexing.IndexStats:
+        """budget: chunks to embed in this run; token_budget: tokens of one forward
+        pass of the embedder, ``model.TOKEN_BUDGET`` at most."""
         roots = roots or {s: manifest.resolve_root(s) for s in model.SOURCES}
-        if budget is not None:
-            budget = min(budget, model.TOKEN_BUDGET)
-        return indexing.index(self.spark, self.house, roots, self.embedder, force, budget)
+        if token_budget is not None:
+            token_budget = min(token_budget, model.TOKEN_BUDGET)
+        return indexing.index(self.spark, self.house, roots, self.embedder, force, budget, token_budget)
 
-    def rebuild(self, roots: dict[str, str] | None = None) -> indexing.IndexStats:
+    def rebuild(self, roots: dict[str, str] | None = None, token_budget: int | None = None) -> indexing.IndexStats:
         """Index every file anew and drop what nothing owns."""
-        stats = self.index(roots, force=True)
+        stats = self.index(roots, force=True, token_budget=token_budget)
         self.house.write(maintain.repaired(self.house.read()))
         self.house.vacuum()
         return stats
@@ -51,7 +54,11 @@ class Engine:
     def classify(self, all_sessions: bool = False, dry_run: bool = False) -> DataFrame:
         t = self.tables()
         if not dry_run:
-            self.house.write({"sessions": maintain.reclassified(t["sessions"], t["messages"], all_sessions)})
+            change, new = self.house.change(), maintain.reclassified(t["sessions"], t["messages"], all_sessions)
+            new = new.join(t["sessions"].select("session_id", F.col("session_type").alias("old")), "session_id").filter(~F.col("session_type").eqNullSafe(F.col("old")))
+            if change.remove(("sessions",), new.select("session_id")) is not None:
+                change.append("sessions", new)
+                change.commit()
         return maintain.classify(t["sessions"], t["messages"], all_sessions)
 
     def backfill(self) -> int:
@@ -61,8 +68,6 @@ class Engine:
         n = found.count()
         if n:
             out = t["qa_chunks"].join(found, "chunk_id", "left")
-            from pyspark.sql import functions as F
-
             out = out.withColumns({"lo": F.coalesce("lo", "__lo"), "hi": F.coalesce("hi", "__hi")})
             self.house.write({"qa_chunks": out.select(*[f.name for f in model.CHUNKS])})
         found.unpersist()
@@ -72,9 +77,12 @@ class Engine:
         """Record the written files of sessions that lack them."""
         return indexing.backfill_files(self.house)
 
-    def optimize(self) -> str:
-        """Write the index of trigrams for ``operators.fts.lookup``."""
-        return indexing.write_postings(self.house)
+    def optimize(self) -> None:
+        """Merge the segments of all tables; index the trigrams of messages where
+        the tables came without an index."""
+        if "postings" not in self.tables():
+            indexing.write_postings(self.house)
+        self.house.compact(whole=True)
 
     def status(self) -> DataFrame:
         return maintain.status(self.tables())

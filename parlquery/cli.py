@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("index", "rebuild"):
         c = sub.add_parser(name)
-        c.add_argument("--budget", type=int)
+        c.add_argument("--token-budget", type=int, help="tokens of one forward pass of the embedder")
     s = sub.add_parser("search")
     s.add_argument("query", nargs="?")
     for flag in ("project", "source", "file"):
@@ -56,7 +56,8 @@ def expand(argv: list[str]) -> list[str]:
 def run(engine, args) -> tuple[list[dict], list[str]]:
     """The rows of a command and its notes."""
     if args.command in ("index", "rebuild"):
-        stats = engine.index(budget=args.budget) if args.command == "index" else engine.rebuild()
+        work = engine.index if args.command == "index" else engine.rebuild
+        stats = work(token_budget=args.token_budget)
         return [dataclasses.asdict(stats)], [stats.first_error] if stats.first_error else []
     if args.command == "search":
         current = resolve_current(args.exclude_current, args.only_current, dict(os.environ))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,8 +88,10 @@ def cap_message(text: Column) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
-def cap_note(text: Column) -> Column:
-    return F.substring(strip_control(text), 1, model.NOTE_CHARS)
+def cap_note(note: str) -> str:
+    """The beginning of what an error says, without what a terminal would obey."""
+    note = re.sub(_ESCAPES.replace(r"\z", r"\Z"), "", note).replace("\t", " ")
+    return re.sub(r"[\x00-\x1f\x7f-\x9f]", "", note)[: model.NOTE_CHARS]
 
 
 def display_name(project: Column) -> Column:
@@ -149,15 +152,14 @@ def split_text(text: str, most: int = model.CHUNK_BYTES) -> list[str]:
 def chunk_contents(user: str, assistant: str | None, most: int = model.CHUNK_BYTES) -> list[str]:
     """The contents of a question with its answer: together if they fit, else
     the question before each piece of the answer, else both split alone."""
+    size = lambda t: len(t.encode("utf-8", "surrogatepass"))
     if assistant is None:
         return split_text(user, most)
     header = user + "\n"
-    room = most - len(header.encode("utf-8", "surrogatepass"))
-    if len(assistant.encode("utf-8", "surrogatepass")) <= room:
-        return [header + assistant]
-    if room >= 4:
-        return [header + p for p in pieces(assistant, room)]
-    return split_text(user, most) + split_text(assistant, most)
+    room = most - size(header)
+    # a character has four bytes at most, so less room may hold none
+    bodies = [assistant] if size(assistant) <= room else pieces(assistant, room) if room >= 4 else None
+    return [header + b for b in bodies] if bodies is not None else split_text(user, most) + split_text(assistant, most)
 
 
 def contents(user: Column, assistant: Column, most: int = model.CHUNK_BYTES) -> Column:
@@ -174,23 +176,35 @@ def contents(user: Column, assistant: Column, most: int = model.CHUNK_BYTES) ->
 
 
 def snippet_of(text: str, terms: list[str], tokens: int = model.SNIPPET_TRIGRAMS) -> str:
-    """A window of ``tokens`` trigrams with most distinct terms, matches marked
-    by ``**`` and cuts by dots; the first such window wins."""
+    """A window of ``tokens`` trigrams with most distinct terms, of those the one
+    with most hits, then the first; matches marked by ``**`` and cuts by dots."""
     low = text.lower()
     if len(low) != len(text):
         low = text
-    hits = []
+    found: list[tuple[int, int, str]] = []
     for term in {t.lower() for t in terms if t}:
         p = low.find(term)
         while p >= 0:
-            hits.append((p, p + len(term)))
+            found.append((p, p + len(term), term))
             p = low.find(term, p + 1)
+    found.sort()
+    hits = [(a, b) for a, b, _ in found]
     width = tokens + 2
     if not hits:
         return text[:width] + ("..." if len(text) > width else "")
-    hits.sort()
-    starts = sorted({max(0, min(a, len(text) - width)) for a, _ in hits})
-    at = max(starts, key=lambda s: (sum(s <= a and b <= s + width for a, b in hits), -s))
+    # windows that start at a hit, with the hits that are whole in each
+    at, best, first = 0, (0, 0), 0
+    for start in sorted({max(0, min(a, len(text) - width)) for a, _ in hits}):
+        while found[first][0] < start:
+            first += 1
+        inside = []
+        for a, b, term in found[first:]:
+            if a >= start + width:
+                break
+            if b <= start + width:
+                inside.append(term)
+        if (score := (len(set(inside)), len(inside))) > best:
+            at, best = start, score
     out, p, end = ["..."] if at else [], at, min(len(text), at + width)
     merged: list[list[int]] = []
     for a, b in hits:

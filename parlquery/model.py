@@ -26,6 +26,7 @@ SCAN_DEPTH = 10
 PATH_BYTES = 4_096
 FRESH_SECONDS = 0.001
 OPTIMIZE_FROM = 500
+BUSY_TRIES = 5
 
 SOURCES = ("claude", "codex")
 ROLES = ("user", "assistant")
@@ -46,6 +47,9 @@ SESSION_FILES = _schema(("session_id", _S), ("path", _S))
 LINES = _schema(("path", _S), ("line_no", _L), ("raw", _S))
 MANIFEST = _schema(("path", _S), ("source", _S), ("mtime", T.DoubleType()))
 
+#: Which messages hold which trigrams.
+POSTINGS = _schema(("trigram", _S), ("msg_id", _L))
+
 TABLES = {"sessions": SESSIONS, "messages": MESSAGES, "qa_chunks": CHUNKS, "vec_chunks": VECTORS, "session_files": SESSION_FILES}
 
 

@@ -53,17 +53,21 @@ def vocabulary(messages: DataFrame) -> DataFrame:
     return told.groupBy("trigram").agg(F.sum("first").alias("doc"), F.sum(1 - F.col("first")).alias("cnt"))
 
 
-def expand(messages: DataFrame, term: str, most: int = model.SHORT_COMBINATIONS) -> list[str] | None:
+def expand(messages: DataFrame, term: str, most: int = model.SHORT_COMBINATIONS, index: DataFrame | None = None) -> list[str] | None:
     """Trigrams of the vocabulary that start with a short term; None if there
-    are more than ``most``. They are read off the matches of one expression."""
-    pattern = "(?s)(?=(" + tx.quote(term.lower()) + ".{" + str(3 - len(term)) + "}))."
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(c), F.lit(pattern), 1) for c in ("role", "text")]))
-    hits = messages.filter(holds(term)).select(F.explode(F.array_distinct(found)).alias("t")).distinct()
+    are more than ``most``. They are read off the index or, without one, off the
+    matches of one expression."""
+    if index is not None:
+        hits = index.filter(F.col("trigram").startswith(term.lower())).select(F.col("trigram").alias("t")).distinct()
+    else:
+        pattern = "(?s)(?=(" + tx.quote(term.lower()) + ".{" + str(3 - len(term)) + "}))."
+        found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(c), F.lit(pattern), 1) for c in ("role", "text")]))
+        hits = messages.filter(holds(term)).select(F.explode(F.array_distinct(found)).alias("t")).distinct()
     rows = hits.orderBy("t").limit(most + 1).collect()  # at most so many trigrams matter
     return [r[0] for r in rows] if len(rows) <= most else None
 
 
-def prepare(messages: DataFrame, query: str) -> Groups | None:
+def prepare(messages: DataFrame, query: str, index: DataFrame | None = None) -> Groups | None:
     """The groups of a query; None where nothing can be searched for. Too many
     combinations of short terms leave the longer phrases alone."""
     terms = phrases(anchored(query))
@@ -71,7 +75,7 @@ def prepare(messages: DataFrame, query: str) -> Groups | None:
     short: Groups = []
     combinations = 1
     for t in (t for t in terms if len(t) < 3):
-        found = expand(messages, t)
+        found = expand(messages, t, index=index)
         combinations *= len(found) if found is not None else model.SHORT_COMBINATIONS + 1
         if combinations > model.SHORT_COMBINATIONS:
             return fixed or None
@@ -86,21 +90,31 @@ def matches(messages: DataFrame, groups: Groups) -> DataFrame:
     return messages.filter(reduce(and_, [reduce(or_, [holds(p) for p in g]) for g in groups]))
 
 
-def statistics(messages: DataFrame, flat: list[str]) -> Column:
+def statistics(messages: DataFrame, flat: list[str], facts: DataFrame | None = None) -> Column:
     """Number of messages, their mean length, and messages per phrase, over all
-    messages whatever is filtered; a scalar, computed by one scan."""
-    own = [F.count("*").alias("n"), F.avg(length()).alias("avgdl"), *[F.count_if(holds(p)).alias(f"df{k}") for k, p in enumerate(flat)]]
-    return messages.agg(*own).select(F.struct("*")).scalar()
-
-
-def bm25(messages: DataFrame, groups: Groups) -> DataFrame:
-    """``(msg_id, session_id, rank)`` of the matches; lower is better."""
+    messages whatever is filtered; a scalar, computed by one scan. Where ``facts``
+    has the first two, the messages may be those alone that can hold a phrase."""
+    n, mean = F.count("*"), F.avg(length())
+    if facts is not None:
+        known = facts.first()
+        n, mean = F.lit(known["messages"]), F.lit(known["trigrams"] / max(1, known["messages"]))
+    return messages.agg(n.alias("n"), mean.alias("avgdl"), *[F.count_if(holds(p)).alias(f"df{k}") for k, p in enumerate(flat)]).select(F.struct("*")).scalar()
+
+
+def bm25(messages: DataFrame, groups: Groups, index: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """``(msg_id, session_id, rank)`` of the matches; lower is better. With an
+    index of trigrams, and what is known of all messages, those alone are read
+    that hold all trigrams of some phrase."""
     flat = list(dict.fromkeys(p for g in groups for p in g))
+    if index is not None and facts is not None and flat:
+        messages = holders(index, messages, flat)
+    else:
+        facts = None
     found = matches(messages, groups)
     if not flat:
         return found.select("msg_id", "session_id", F.lit(0.0).alias("rank"))
     rows = found.select("msg_id", "session_id", length().cast("double").alias("dl"), *[frequency(p).cast("double").alias(f"tf{k}") for k, p in enumerate(flat)])
-    rows = rows.withColumn("s", statistics(messages, flat))
+    rows = rows.withColumn("s", statistics(messages, flat, facts))
 
     def part(k: int) -> Column:
         n, df, tf = F.col("s.n"), F.col(f"s.df{k}"), F.col(f"tf{k}")
@@ -122,20 +136,43 @@ def candidates(ranked: DataFrame, limit: int) -> DataFrame:
 # An index for large tables: which messages hold which trigrams.
 
 
-def postings(messages: DataFrame, buckets: int = 256) -> DataFrame:
-    """``(bucket, trigram, msg_id)``, one row a message and trigram, made without
-    an exchange; written with ``partitionBy("bucket")``, a lookup reads the
-    buckets of its trigrams alone."""
-    own = messages.select("msg_id", F.explode(F.array_distinct(grams())).alias("trigram"))
-    return own.select(F.pmod(F.xxhash64("trigram"), F.lit(buckets)).alias("bucket"), "trigram", "msg_id")
+def postings(messages: DataFrame) -> DataFrame:
+    """``(trigram, msg_id)``, one row a message and trigram."""
+    return messages.select(F.explode(F.array_distinct(grams())).alias("trigram"), "msg_id")
+
+
+def in_order(index: DataFrame) -> DataFrame:
+    """Postings in ranges of trigrams and messages, so that a lookup opens the few
+    files that have its trigrams, and a frequent one has many files."""
+    return index.repartitionByRange("trigram", "msg_id").sortWithinPartitions("trigram", "msg_id")
+
 
+#: Messages of a stretch of ids, and stretches that a read is narrowed to at most.
+STRETCH, STRETCHES = 1 << 14, 512
 
-def lookup(index: DataFrame, messages: DataFrame, phrase: str, buckets: int = 256) -> DataFrame:
+
+def holders(index: DataFrame, messages: DataFrame, flat: list[str]) -> DataFrame:
+    """Messages that hold all trigrams of one of the phrases, which those have that
+    hold the phrase. Where they lie in few stretches of ids, only those are read."""
+    own = {p: sorted({p.lower()[k : k + 3] for k in range(len(p) - 2)}) for p in flat}
+    if not all(own.values()):
+        return messages
+    hit = index.filter(F.col("trigram").isin(sorted({g for x in own.values() for g in x})))
+    whole = reduce(or_, [F.count_if(F.col("trigram").isin(x)) == len(x) for x in own.values()])
+    ids = hit.groupBy("msg_id").agg(whole.alias("whole")).filter("whole").select("msg_id")
+    parts = ids.select(F.floor(F.col("msg_id") / STRETCH).alias("k")).distinct().limit(STRETCHES + 1).collect()
+    if len(parts) <= STRETCHES:
+        near: list[list[int]] = []
+        for k in sorted(r[0] for r in parts):
+            if near and k == near[-1][1]:
+                near[-1][1] = k + 1
+            else:
+                near.append([k, k + 1])
+        within = [(F.col("msg_id") >= a * STRETCH) & (F.col("msg_id") < b * STRETCH) for a, b in near]
+        messages = messages.filter(reduce(or_, within, F.lit(False)))
+    return messages.join(ids, "msg_id", "left_semi")
+
+
+def lookup(index: DataFrame, messages: DataFrame, phrase: str) -> DataFrame:
     """Messages with a phrase: those that hold all its trigrams, then verified."""
-    p = phrase.lower()
-    own = sorted({p[k : k + 3] for k in range(len(p) - 2)})
-    if not own:
-        return messages.filter(holds(phrase))
-    of = reduce(or_, [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)) for t in own])
-    hit = index.filter(of & F.col("trigram").isin(own)).groupBy("msg_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(own))
-    return messages.join(hit.select("msg_id"), "msg_id", "left_semi").filter(holds(phrase))
+    return holders(index, messages, [phrase]).filter(holds(phrase))

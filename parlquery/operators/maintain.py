@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -45,9 +45,9 @@ def orphan_chunks(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def repaired(t: Tables) -> Tables:
-    """The tables without orphans; chunks first, as their embeddings follow."""
+    """Chunks and embeddings without orphans; chunks first, as their embeddings follow."""
     chunks = t["qa_chunks"].join(t["sessions"].select("session_id"), "session_id", "left_semi")
-    return t | {"qa_chunks": chunks, "vec_chunks": t["vec_chunks"].join(chunks.select("chunk_id"), "chunk_id", "left_semi")}
+    return {"qa_chunks": chunks, "vec_chunks": t["vec_chunks"].join(chunks.select("chunk_id"), "chunk_id", "left_semi")}
 
 
 def doctor(t: Tables, dims: int | None = None) -> DataFrame:
@@ -85,14 +85,3 @@ def reclassified(sessions: DataFrame, messages: DataFrame, all_sessions: bool =
     """The sessions with the types that ``classify`` finds."""
     found = classify(sessions, messages, all_sessions).select("session_id", F.col("session_type").alias("__type"))
     return sessions.join(found, "session_id", "left").withColumn("session_type", F.coalesce("__type", "session_type")).select(*sessions.columns)
-
-
-def embed_batch_numbers(chunks: DataFrame, batch: int = model.EMBED_BATCH) -> DataFrame:
-    """``(chunk_id, batch)``: ascending byte length, so that a batch pads little.
-    Lengths are counted first, so no task sorts all chunks."""
-    rows = chunks.select("chunk_id", F.octet_length("content").cast("bigint").alias("bytes"))
-    upto = Window.orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("bytes").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    inside = Window.partitionBy("bytes").orderBy("chunk_id")
-    place = rows.withColumn("k", F.row_number().over(inside)).join(first.drop("n"), "bytes")
-    return place.select("chunk_id", F.floor((F.col("first") + F.col("k") - 1) / batch).cast("bigint").alias("batch"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text as tx
 from ..functions import time as tm
+from ..functions import vector as vectors
 from ..operators import chunking, conversation, excerpt, filters, fts, maintain, rank, vector
 from ..sources import manifest, producers, views
 from ..sources.views import NOW_MS, with_views
@@ -108,7 +109,7 @@ def qa_chunk_ranges(spark, sf):
 
 @query()
 def split_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(tx.contents(F.col("text"), F.lit(None).cast("string"))).alias("part", "content"))
 
 
@@ -485,7 +486,7 @@ def backfill_ranges(spark, sf):
 
 @query(with_views("chunks") + "SELECT chunk_id, (row_number() OVER (ORDER BY strlen(content), chunk_id) - 1) // 128 AS batch FROM chunks")
 def embed_batches(spark, sf):
-    return maintain.embed_batch_numbers(views.chunks(spark, sf))
+    return vectors.batch_numbers(views.chunks(spark, sf))
 
 
 # Files.

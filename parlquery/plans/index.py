@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from ..functions.vector import Embedder, embed_batches
 from ..operators import chunking, fts, maintain
 from ..operators.numbering import dense_ids
 from ..sources import jsonl, manifest, producers
-from ..sources.warehouse import Warehouse
+from ..sources.warehouse import Change, Conflict, Warehouse
 
 
 #: Shares of the sessions that messages are numbered in.
@@ -36,15 +37,29 @@ class IndexStats:
     skipped_roots: list = field(default_factory=list)
 
 
-def _without(df: DataFrame, gone: DataFrame, key: str = "session_id") -> DataFrame:
-    return df.join(gone.select(key).distinct(), key, "left_anti")
+def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder: Embedder | None = None, force: bool = False, budget: int | None = None, token_budget: int | None = None) -> IndexStats:
+    """Bring the tables up to date with the files, in one version. All of a
+    changed session goes before it is read anew; sessions whose file is gone go
+    only if their root was read whole. Without an embedder, sessions that have
+    embeddings stay. If another run adds a version meanwhile, this one starts anew
+    from what that one left."""
+    for tries in range(model.BUSY_TRIES):
+        change = house.change()
+        stats = _index(spark, change, roots, embedder, force, budget, token_budget)
+        try:
+            change.commit()
+            break
+        except Conflict:
+            if tries + 1 == model.BUSY_TRIES:
+                raise
+    if force or stats.new + stats.changed >= model.OPTIMIZE_FROM:
+        with contextlib.suppress(Conflict):  # the next run merges what this one cannot
+            house.compact()
+    return stats
 
 
-def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder: Embedder | None = None, force: bool = False, budget: int | None = None) -> IndexStats:
-    """Bring the tables up to date with the files. All of a changed session goes
-    before it is read anew; sessions whose file is gone go only if their root was
-    read whole. Without an embedder, sessions that have embeddings stay."""
-    stats, t = IndexStats(), house.read()
+def _index(spark: SparkSession, change: Change, roots: dict[str, str], embedder: Embedder | None, force: bool, budget: int | None, token_budget: int | None) -> IndexStats:
+    stats, t = IndexStats(), change.read()
     listed, states = manifest.scan(spark, roots)
     found = manifest.diff(listed, t["sessions"], force)
     if embedder is None:
@@ -68,12 +83,17 @@ def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder
         sessions.append(parsed.sessions)
         messages.append(parsed.messages)
         files.append(parsed.files)
+    fresh, gone = None, gone.select("session_id")
     if sessions:
         union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        times = listed.select("path", "mtime")
-        fresh = union(sessions).join(times, "path")
         # of files with the same session id the last one by name counts
+        fresh = union(sessions).join(listed.select("path", "mtime"), "path")
         fresh = fresh.groupBy("session_id").agg(F.max_by(F.struct("*"), "path").alias("r")).select("r.*")
+        # new sessions have nothing to take away, unless chunks are left of their ids
+        known = t["sessions"].select("session_id").unionByName(t["qa_chunks"].select("session_id"))
+        gone = gone.unionByName(fresh.select("session_id").join(known, "session_id", "left_semi"))
+    _remove(change, t, gone)
+    if fresh is not None:
         own = union(messages).join(fresh.select("path", "session_id"), "path")
         own = own.select("session_id", "line_no", "role", tx.strip_control(F.col("text")).alias("text")).filter("text <> ''")
         first = t["messages"].agg(F.coalesce(F.max("msg_id"), F.lit(0)).alias("m")).select("m").scalar()
@@ -81,7 +101,10 @@ def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder
         # block is a share of the sessions, and a long session has many
         block = F.pmod(F.xxhash64("session_id"), F.lit(SHARES)) * F.lit(1 << 24) + F.floor(F.col("line_no") / (1 << 20))
         own = dense_ids(own, "k", ["session_id", "line_no"], block).withColumn("msg_id", F.col("k") + first)
+        own = change.append("messages", own.repartitionByRange("msg_id").sortWithinPartitions("msg_id"))
+        add_postings(change, own)
         paths = union(files).join(fresh.select("path", "session_id"), "path").select("session_id", F.col("file").alias("path")).distinct()
+        paths = change.append("session_files", paths)
         scanned = paths.groupBy("session_id").agg(F.count("*").cast("int").alias("files_scanned"))
         kinds = maintain.first_user_turns(own).select("session_id", tx.classify_first_turn(F.col("text")).alias("session_type"))
         rows = fresh.join(scanned, "session_id", "left").join(kinds, "session_id", "left")
@@ -89,50 +112,58 @@ def index(spark: SparkSession, house: Warehouse, roots: dict[str, str], embedder
             "session_id", "source", F.col("path").alias("file_path"), "project", "slug", "timestamp_ms", "mtime",
             F.coalesce("session_type", F.lit(model.INTERACTIVE)).alias("session_type"), F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"),
         )
-        gone = gone.select("session_id").unionByName(rows.select("session_id"))
-    else:
-        gone, rows, own, paths = gone.select("session_id"), None, None, None
-    old_chunks = _without(t["qa_chunks"], gone)
-    out = {
-        "sessions": _without(t["sessions"], gone),
-        "messages": _without(t["messages"], gone),
-        "session_files": _without(t["session_files"], gone),
-        "qa_chunks": old_chunks,
-        "vec_chunks": t["vec_chunks"].join(t["qa_chunks"].join(gone.select("session_id").distinct(), "session_id", "left_semi").select("chunk_id"), "chunk_id", "left_anti"),
-    }
-    if rows is not None:
-        cols = {n: [f.name for f in s] for n, s in model.TABLES.items()}
-        out["sessions"] = out["sessions"].select(*cols["sessions"]).unionByName(rows)
-        out["messages"] = out["messages"].select(*cols["messages"]).unionByName(own.select(*cols["messages"]))
-        out["session_files"] = out["session_files"].select(*cols["session_files"]).unionByName(paths)
-    house.write(out)
-    stats.chunks = add_chunks(house)
+        change.append("sessions", rows)
+    stats.chunks = add_chunks(change)
     if embedder is not None:
-        stats.embedded, stats.failed, stats.first_error = embed_pending(house, embedder, budget)
+        stats.embedded, stats.failed, stats.first_error = embed_pending(change, embedder, budget, token_budget)
     return stats
 
 
-def add_chunks(house: Warehouse) -> int:
-    """Chunk the sessions that have none; a version of its own."""
-    t = house.read()
+def _remove(change: Change, t: dict[str, DataFrame], gone: DataFrame) -> None:
+    """Take away sessions and all that hangs on them."""
+    chunks, messages = t["qa_chunks"], t["messages"]
+    ids = change.remove(("sessions", "messages", "session_files", "qa_chunks"), gone)
+    if ids is None:
+        return
+    change.remove(("vec_chunks",), chunks.join(ids, "session_id", "left_semi").select("chunk_id"))
+    if "postings" in t:
+        left = messages.join(ids, "session_id", "left_semi")
+        _count(change, left, -1)
+        change.remove(("postings",), left.select("msg_id"))
+
+
+def _count(change: Change, messages: DataFrame, sign: int) -> None:
+    """Keep what ranks need to know of all messages."""
+    n, grams = messages.agg(F.count("*"), F.coalesce(F.sum(fts.length()), F.lit(0))).first()
+    change.manifest["facts"]["messages"] += sign * n
+    change.manifest["facts"]["trigrams"] += sign * grams
+
+
+def add_postings(change: Change, messages: DataFrame) -> None:
+    """Index the trigrams of messages, unless others are there without an index."""
+    if "postings" in change.manifest["tables"]:
+        _count(change, messages, 1)
+        change.append("postings", fts.in_order(fts.postings(messages)))
+
+
+def add_chunks(change: Change) -> int:
+    """Chunk the sessions that have none."""
+    t = change.read()
     todo = chunking.unchunked(t["sessions"], t["qa_chunks"]).select("session_id", "timestamp_ms")
     own = t["messages"].join(todo, "session_id", "left_semi")
     first = t["qa_chunks"].agg(F.coalesce(F.max("chunk_id"), F.lit(0)).alias("m")).select("m").scalar()
     found = chunking.numbered(chunking.chunks(own), own, first).join(todo, "session_id")
-    columns = [f.name for f in model.CHUNKS]
-    before = t["qa_chunks"].count()
-    house.write({"qa_chunks": t["qa_chunks"].select(*columns).unionByName(found.select(*columns))})
-    return house.read()["qa_chunks"].count() - before
+    return change.append("qa_chunks", found).count()
 
 
-def embed_pending(house: Warehouse, embedder: Embedder, budget: int | None = None) -> tuple[int, int, str | None]:
+def embed_pending(change: Change, embedder: Embedder, budget: int | None = None, token_budget: int | None = None) -> tuple[int, int, str | None]:
     """Embed the newest pending chunks; failed batches stay pending."""
-    t = house.read()
-    done = embed_batches(maintain.pending_chunks(t["qa_chunks"], t["vec_chunks"], budget), embedder).persist()
-    told = done.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_id"))).alias("e")).first()
+    t = change.read()
+    done = embed_batches(maintain.pending_chunks(t["qa_chunks"], t["vec_chunks"], budget), embedder, token_budget=token_budget).persist()
+    right, wrong = F.col("error").isNull(), F.col("error").isNotNull()
+    told = done.agg(F.count_distinct(F.when(right, F.col("chunk_id"))).alias("ok"), F.count_if(wrong).alias("bad"), F.min_by("error", F.when(wrong, F.col("chunk_id"))).alias("e")).first()
     if told["ok"]:
-        columns = [f.name for f in model.VECTORS]
-        house.write({"vec_chunks": t["vec_chunks"].select(*columns).unionByName(done.filter("error is null").select(*columns))})
+        change.append("vec_chunks", done.filter("error is null"))
     done.unpersist()
     return told["ok"], told["bad"], told["e"]
 
@@ -161,10 +192,11 @@ def backfill_files(house: Warehouse) -> tuple[int, int]:
     return settled, away
 
 
-def write_postings(house: Warehouse, path: str | None = None) -> str:
-    """Write the index of trigrams of the current messages, a folder a bucket and
-    in it a file for each range of messages, sorted, so that a lookup opens few
-    files and no task writes a whole bucket."""
-    path = path or f"{house.path}/postings-{house.version()}"
-    fts.postings(house.read()["messages"]).repartition("bucket", F.floor(F.col("msg_id") / (1 << 24))).sortWithinPartitions("trigram", "msg_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return path
+def write_postings(house: Warehouse) -> None:
+    """Index the trigrams of all messages, where the tables came without."""
+    change = house.change()
+    messages = change.read()["messages"]
+    change.manifest["facts"] = {"messages": 0, "trigrams": 0}
+    change.replace("postings", fts.in_order(fts.postings(messages)))
+    _count(change, messages, 1)
+    change.commit()

@@ -24,9 +24,10 @@ def now(opts: model.SearchOptions) -> int:
 
 def keyword_leg(t: Tables, groups: fts.Groups, opts: model.SearchOptions) -> DataFrame:
     """``(session_id, rank, msg_id)`` of the best sessions that are allowed. The
-    statistics of the ranks are those of all messages."""
+    statistics of the ranks are those of all messages; where the tables have an
+    index of trigrams, only messages that it points to are read."""
     allowed = filters.allowed_sessions(t["sessions"], t.get("session_files"), opts, now(opts))
-    ranked = fts.bm25(t["messages"], groups).join(allowed, "session_id", "left_semi")
+    ranked = fts.bm25(t["messages"], groups, t.get("postings"), t.get("facts")).join(allowed, "session_id", "left_semi")
     return fts.candidates(ranked, opts.limit)
 
 
@@ -87,7 +88,7 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
         return results(page.withColumns({"excerpt": F.lit(""), "chunk_id": F.lit(None).cast("bigint")})), meta
     if not query.strip():
         return nothing, meta
-    groups = fts.prepare(t["messages"], query)
+    groups = fts.prepare(t["messages"], query, t.get("postings"))
     empty = spark.createDataFrame([], "session_id string, rank double, msg_id bigint")
     words = _legs(keyword_leg(t, groups, opts)) if groups else empty
     near = None
@@ -98,7 +99,7 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
                 near = _legs(vector_leg(t, [float(x) for x in q], opts))
         except Exception as e:  # one leg is enough to answer, but the caller is told
             meta.vec_degraded = True
-            meta.notes.append(f"semantic search failed: {str(e)[: model.NOTE_CHARS]}")
+            meta.notes.append("semantic search failed: " + tx.cap_note(str(e)))
     if near is None:
         page = rank.by_rank(with_sessions(words, t["sessions"]), now(opts), opts.limit)
         meta.results_incomplete = _dropped(words, t["sessions"])

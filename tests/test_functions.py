@@ -7,7 +7,7 @@ from parlquery import model
 from parlquery.functions import script
 from parlquery.functions import text as tx
 from parlquery.functions import time as tm
-from parlquery.functions.vector import ByteEmbedder, embed_batches
+from parlquery.functions.vector import ByteEmbedder, batch_numbers, embed_batches, passes
 
 
 def one(spark, column, value, kind="string"):
@@ -59,11 +59,11 @@ def test_iso_times(spark):
 
 def test_script_boundaries():
     cases = {
-        "textlint日本語ドキュメント校正": "textlint 日本語 ドキュメント 校正", "校正する": "校正 する", "Reactのhooks": "React の hooks", "utf8 v2 sha256": "utf8 v2 sha256",
-        "機械学習": "機械学習", '"日本語ドキュメント"': '"日本語ドキュメント"', "うーん": "う ー ん", 'a"x日本"日a': 'a"x日本"日 a', "日-a": "日-a",
+        "pandas港湾データ集計": "pandas 港湾 データ 集計", "集計する": "集計 する", "Numpyの行": "Numpy の 行", "utf8 v2 sha256": "utf8 v2 sha256",
+        "潮位表": "潮位表", '"港湾データ"': '"港湾データ"', "おーい": "お ー い", 'a"x港湾"港a': 'a"x港湾"港 a', "港-a": "港-a",
     }
     assert {q: script.segment(q) for q in cases} == cases
-    assert script.anchored("校正する") == "校正する" and script.anchored("text校正") == "text 校正"
+    assert script.anchored("集計する") == "集計する" and script.anchored("text集計") == "text 集計"
     assert script.phrases('a "b c" d') == ["a", "b c", "d"] and script.phrases('"open end') == ["open end"]
     assert script.phrases("x AND role:user OR NOT y") == ["x", "AND", "role:user", "OR", "NOT", "y"] and script.phrases("  ") == []
 
@@ -71,13 +71,13 @@ def test_script_boundaries():
 def test_chunk_contents():
     most = model.CHUNK_BYTES
     assert tx.chunk_contents("q", None) == ["q"] and tx.chunk_contents("q", "a") == ["q\na"]
-    parts = tx.chunk_contents("質問", "line\n" * 5000)
-    assert len(parts) > 1 and all(p.startswith("質問\n") and len(p.encode()) <= most for p in parts)
-    for user, answer in (("a" * 15998, "こんにちは世界"), ("a" * 15995, "日本語のテキスト"), ("é" * 20000, "x")):
+    parts = tx.chunk_contents("潮位", "line\n" * 5000)
+    assert len(parts) > 1 and all(p.startswith("潮位\n") and len(p.encode()) <= most for p in parts)
+    for user, answer in (("a" * 15998, "港の朝は早い"), ("a" * 15995, "波と風の記録"), ("é" * 20000, "x")):
         parts = tx.chunk_contents(user, answer)
         assert all(len(p.encode()) <= most for p in parts)
-    assert all(p.startswith("a" * 15995 + "\n") for p in tx.chunk_contents("a" * 15995, "日本語のテキスト"))
-    assert "".join(tx.chunk_contents("a" * 15998, "こんにちは世界")) == "a" * 15998 + "こんにちは世界"
+    assert all(p.startswith("a" * 15995 + "\n") for p in tx.chunk_contents("a" * 15995, "波と風の記録"))
+    assert "".join(tx.chunk_contents("a" * 15998, "港の朝は早い")) == "a" * 15998 + "港の朝は早い"
     rng = random.Random(1)
     for _ in range(300):
         text = "".join(rng.choice(["a", "é", "数", "😀", "\n", "\n\n", " word"]) for _ in range(rng.randrange(1, 200)))
@@ -98,6 +98,13 @@ def test_snippets():
     s = tx.snippet_of("x" * 50 + "needle" + "y" * 50, ["needle"])
     assert "**needle**" in s and s.startswith("...") and s.endswith("...")
     assert tx.snippet_of("ab", ["zz"]) == "ab" and tx.snippet_of("aaaa", ["aa"]) == "**aaaa**"
+    # two distinct terms count more than many hits of one
+    text = "tide tide tide tide " + "." * 40 + " tide and port " + "." * 40
+    assert tx.snippet_of(text, ["tide", "port"]) == "...**tide** and **port** " + "." * 8 + "..."
+
+
+def test_notes_are_short_and_plain():
+    assert tx.cap_note("\x1b[31mred\x1b[0m\tend\n\x07") == "red end" and len(tx.cap_note("x" * 500)) == model.NOTE_CHARS
 
 
 def test_embed_batches_isolate_failures(spark):
@@ -108,6 +115,30 @@ def test_embed_batches_isolate_failures(spark):
     assert all(r["embedding"] is not None and abs(sum(x * x for x in r["embedding"]) - 1) < 1e-5 for r in rows if not r["error"])
 
 
+def test_batches_are_the_numbered_ones(spark):
+    """The batches that are embedded are those that are counted, in that order."""
+    class Telling(ByteEmbedder):
+        def embed(self, texts):
+            return [[[float(len(t)), float(len(texts))], [0.0, 1.0]] for t in texts]
+
+    df = spark.createDataFrame([(k, "x" * (k * 7 % 50)) for k in range(1, 400)], "chunk_id bigint, content string")
+    number = {r["chunk_id"]: r["batch"] for r in batch_numbers(df).collect()}
+    order = sorted(range(1, 400), key=lambda k: (k * 7 % 50, k))
+    assert number == {k: i // model.EMBED_BATCH for i, k in enumerate(order)}
+    rows = embed_batches(df, Telling()).collect()
+    assert sorted((r["chunk_id"], r["sub_idx"]) for r in rows) == [(k, s) for k in range(1, 400) for s in (0, 1)]
+    size = [sum(v == b for v in number.values()) for b in range(4)]
+    assert all(r["embedding"][1] == size[number[r["chunk_id"]]] for r in rows if r["sub_idx"] == 0)
+
+
+def test_forward_passes_keep_to_their_tokens(spark):
+    assert list(passes([], 5)) == [] and list(passes([1, 2, 3], None)) == [(0, 3)]
+    assert list(passes([1, 2, 3, 3, 9, 1], 6)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    df = spark.createDataFrame([(k, "x" * 10) for k in range(1, 30)], "chunk_id bigint, content string")
+    one, many = (sorted((r["chunk_id"], r["sub_idx"]) for r in embed_batches(df, ByteEmbedder(8), token_budget=b).collect()) for b in (None, 25))
+    assert one == many and len(one) == 29
+
+
 def test_literals_in_patterns(spark):
     assert one(spark, lambda c: tx.occurrences(c, "aaa"), "aaaaaa", "string") == 4
     for term in ("a.b", "\\E", "(x", "$^*", "a\\Eb\\Q"):
