@@ -32,6 +32,12 @@ def allowed_sessions(sessions: DataFrame, files: DataFrame | None, opts: model.S
     return out.select("session_id")
 
 
+def open_to_all(opts: model.SearchOptions) -> bool:
+    """Whether no filter is given, so that hits without a session matter too."""
+    given = (opts.project, opts.days, opts.source, opts.file)
+    return opts.include_automated and opts.current.mode == "ignore" and all(x is None for x in given)
+
+
 def resolve_current(exclude: bool = False, only: bool = False, environ: dict[str, str] | None = None, variable: str = "SESSION_ID") -> model.CurrentSession:
     """What flags and the environment say about the asking session."""
     if exclude and only:

@@ -107,7 +107,29 @@ def qa_chunk_ranges(spark, sf):
     return views.chunks(spark, sf).select("chunk_id", "lo", "hi", "timestamp_ms")
 
 
-@query()
+def sql_pieces(most: int) -> str:
+    """Texts of more than ``most`` bytes cut one piece after the other; ``e`` is
+    the last character that fits, ``cut`` where the piece ends."""
+    return f"""WITH RECURSIVE long AS (SELECT doc_id, text FROM documents WHERE strlen(text) > {most}),
+        chars AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS c FROM long),
+        sums AS (SELECT doc_id, i, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM chars),
+        steps AS (
+            SELECT doc_id, CAST(-1 AS BIGINT) AS part, CAST('' AS VARCHAR) AS content, text AS rest FROM long
+            UNION ALL
+            SELECT doc_id, part + 1, substr(rest, 1, cut), ltrim(substr(rest, cut + 1), chr(10)) FROM (
+                SELECT doc_id, part, rest, CASE
+                    WHEN strlen(rest) <= {most} THEN length(rest)
+                    WHEN contains(head, chr(10) || chr(10)) THEN length(head) - strpos(reverse(head), chr(10) || chr(10)) + 1
+                    WHEN contains(head, chr(10)) THEN length(head) - strpos(reverse(head), chr(10)) + 1
+                    ELSE length(head) END AS cut
+                FROM (
+                    SELECT doc_id, part, rest, substr(rest, 1, CAST(len(list_filter(list_transform(range(1, least(length(rest), {most}) + 1), lambda i: strlen(substr(rest, 1, i))), lambda b: b <= {most})) AS BIGINT)) AS head
+                    FROM steps WHERE rest <> '')))
+        SELECT doc_id, CAST(part AS INTEGER) AS part, content FROM steps WHERE part >= 0
+        UNION ALL SELECT doc_id, CAST(0 AS INTEGER), text FROM documents WHERE text IS NULL OR strlen(text) <= {most}"""
+
+
+@query(sql_pieces(model.CHUNK_BYTES))
 def split_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(tx.contents(F.col("text"), F.lit(None).cast("string"))).alias("part", "content"))
@@ -236,6 +258,18 @@ def _bm25_query(name: str, phrases: list[str]) -> None:
         return _round(fts.bm25(views.messages(spark, sf), [[p] for p in phrases]), "rank")
 
 
+    @query(sql, f"{name}_index")
+    def bm25_index(spark, sf):
+        return _round(fts.bm25(*indexed(spark, sf, [[p] for p in phrases])), "rank")
+
+
+def indexed(spark, sf, groups: fts.Groups) -> tuple:
+    """What ``fts.bm25`` takes where there is an index of trigrams."""
+    m = views.messages(spark, sf)
+    facts = m.agg(F.count("*").alias("messages"), F.sum(fts.length()).alias("trigrams"))
+    return m, groups, fts.postings(m), facts
+
+
 _bm25_query("bm25_one", ["keit"])
 _bm25_query("bm25_two", ["tion", "ent"])
 _bm25_query("bm25_three", ["the", "ing", "tion"])
@@ -270,6 +304,13 @@ def fts_ranked_recency(spark, sf):
     return _round(search.keyword_ranked(t, _GROUPS, _opts()).select("session_id", "rank"), "rank")
 
 
+@query(with_views("messages", "sessions") + sql_best(_OPEN) + f", {_RANKED} SELECT session_id, round(rank, {DIGITS}) AS rank FROM ranked")
+def fts_ranked_index(spark, sf):
+    m, groups, index, facts = indexed(spark, sf, _GROUPS)
+    t = {"sessions": views.sessions(spark, sf), "messages": m, "postings": index, "facts": facts}
+    return _round(search.keyword_ranked(t, groups, _opts()).select("session_id", "rank"), "rank")
+
+
 # Semantic search.
 
 _NEAR = "far AS (SELECT v.chunk_id, list_distance(v.embedding, q.embedding) AS distance FROM vectors v, (SELECT embedding FROM vectors WHERE chunk_id = 1) q), near AS (SELECT * FROM far ORDER BY round(distance, 9), chunk_id LIMIT {k})"
@@ -535,6 +576,58 @@ def parse_producer_b(spark, sf):
     return producers.parse_b(views.json_lines(spark, sf, "codex")).messages
 
 
+_TURN = f"msg_id % {views.TURNS}"
+
+
+def _lines(spark, sf, source: str, text):
+    """Lines of a producer whose texts are made from ``text`` and ``turn``."""
+    rows = views.conversations(spark, sf).withColumn("text", text)
+    return views.json_lines(spark, sf, source, rows)
+
+
+@query(with_views("messages") + _PARSED + f" AND {_TURN} % 3 <> 0")
+def parse_meta_lines(spark, sf):
+    """Every third line is marked as meta and is dropped."""
+    lines = views.json_lines(spark, sf, "claude")
+    marked = F.concat(F.lit('{"isMeta":true,'), F.substr("raw", F.lit(2)))
+    return producers.parse_a(lines.withColumn("raw", F.when(F.col("line_no") % 3 == 0, marked).otherwise(F.col("raw")))).messages
+
+
+@query(with_views("messages") + _PARSED + f" AND {_TURN} % 5 = 4")
+def parse_boilerplate(spark, sf):
+    """Four texts of five begin like boilerplate of the second producer."""
+    begun = F.when(F.col("turn") % 5 == 4, F.col("text"))
+    for k, start in enumerate(tx.BOILERPLATE):
+        begun = begun.when(F.col("turn") % 5 == k, F.concat(F.lit(start), F.col("text")))
+    return producers.parse_b(_lines(spark, sf, "codex", begun)).messages
+
+
+@query(with_views("messages") + "SELECT DISTINCT 's' || session_id AS session_id FROM messages WHERE text <> '' AND CAST(session_id AS BIGINT) % 2 = 0")
+def parse_empty_files(spark, sf):
+    """Files that hold nothing but noise are no sessions."""
+    tag = tx.NOISE_TAGS[2]
+    noise = F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise(F.lit(f"<{tag}>all of it</{tag}>"))
+    return producers.parse_a(_lines(spark, sf, "claude", noise)).sessions.select("session_id")
+
+
+@query("SELECT page_id, CASE WHEN trim(url) <> '' THEN trim(url) END AS cwd FROM pages")
+def legacy_folder(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    said = F.concat(F.lit("<environment_context>\nCurrent working directory: "), F.col("url"), F.lit(" \nmore"))
+    return pages.select("page_id", producers.cwd_of_text(said).alias("cwd"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 2 = 0 THEN substr(md5(CAST(event_id AS VARCHAR)), 1, 8) END AS short FROM events")
+def names_of_paths(spark, sf):
+    """The day in a path, and the beginning of an id in a file's name."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    h = F.md5(F.col("event_id").cast("string").cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    name = F.concat(F.lit("rollout-2026-01-18T00-00-00-"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), F.when(F.col("event_id") % 2 == 0, part(21, 12)).otherwise(part(21, 11))))
+    path = F.concat(F.lit("/h/sessions/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/f.jsonl"))
+    return e.select("event_id", producers.date_of_path(path).alias("day"), producers.short_uuid(name).alias("short"))
+
+
 _SESSIONS_OF_FILES = "SELECT 's' || session_id AS session_id, '{source}' AS source, '/logs/s' || session_id || '.jsonl' AS path, '{project}' AS project, substr('s' || session_id, 1, {n}) AS slug, 1704448800250 AS timestamp_ms FROM (SELECT DISTINCT session_id FROM messages WHERE text <> '')"
 
 

@@ -91,6 +91,14 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
     groups = fts.prepare(t["messages"], query, t.get("postings"))
     empty = spark.createDataFrame([], "session_id string, rank double, msg_id bigint")
     words = _legs(keyword_leg(t, groups, opts)) if groups else empty
+    if groups and filters.open_to_all(opts):
+        # a message without a session is a hit that cannot be shown
+        lost = fts.bm25(t["messages"], groups, t.get("postings"), t.get("facts")).filter("session_id is null").count()
+        if lost and words.isEmpty():
+            raise model.DataError(f"none of {lost} rows could be read", "run doctor")
+        if lost:
+            meta.results_incomplete = True
+            meta.notes.append(f"{lost} rows could not be read")
     near = None
     if embedder is not None:
         try:
@@ -102,12 +110,12 @@ def search(t: Tables, query: str | None, opts: model.SearchOptions, embedder: Em
             meta.notes.append("semantic search failed: " + tx.cap_note(str(e)))
     if near is None:
         page = rank.by_rank(with_sessions(words, t["sessions"]), now(opts), opts.limit)
-        meta.results_incomplete = _dropped(words, t["sessions"])
+        meta.results_incomplete |= _dropped(words, t["sessions"])
         score = "rank"
     else:
         meta.mode = "hybrid"
         page = hybrid_ranked(words, near, t["sessions"], opts)
-        meta.results_incomplete = _dropped(words.select("session_id").unionByName(near.select("session_id")), t["sessions"])
+        meta.results_incomplete |= _dropped(words.select("session_id").unionByName(near.select("session_id")), t["sessions"])
         score = "score"
     page = _legs(page)
     hits = page.select("session_id", score).join(words.select("session_id", "msg_id"), "session_id", "left")

@@ -87,9 +87,9 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select((F.col("page_id") % n).cast("string").alias("session_id"), path.alias("path")).distinct()
 
 
-def json_lines(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Conversations as the lines of a producer's session files."""
-    rows = conversations(spark, sf_dir)
+def json_lines(spark: SparkSession, sf_dir: str, source: str, rows: DataFrame | None = None) -> DataFrame:
+    """Conversations, or such rows, as the lines of a producer's session files."""
+    rows = conversations(spark, sf_dir) if rows is None else rows
     name = F.concat(F.lit("/logs/s"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
     ts = F.lit("2024-01-05T10:00:00.250Z")
     if source == "claude":
