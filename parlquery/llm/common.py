@@ -58,6 +58,23 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+#: What is written within the open scopes of ``scratch``.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Within, what is materialised is listed, and what the list still holds at
+    the end is deleted."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+        discard(*made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
@@ -65,6 +82,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -56,3 +56,20 @@ def test_stages_on_odd_and_empty_rows(spark, odd, empty):
             if stage is not pipeline.STAGES[-1][1]:
                 assert docs.columns == df.columns
         docs.collect()
+
+
+def test_whole_run_leaves_what_it_reads(spark, documents):
+    """The run equals its stages one by one; what stages wrote on their way goes."""
+    import os
+
+    from parlquery.llm import common
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    rows = pipeline.run(spark, SF)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(common.shared_dir(spark))) - before}
+    assert left == {"pipeline-mixing"}
+    found = sorted((r["doc_id"], r["n_tokens"]) for r in rows.collect())
+    docs = documents
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert found == sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect()) and len(found) > 100
