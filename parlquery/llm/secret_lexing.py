@@ -9,8 +9,13 @@ and by its own form.
 
 A bare literal reaches up to the next white space, quote, comma or bracket, and
 an operator within it may bind a name of its own to the rest; what such literals
-share is measured once. So are literals that many names reach. The time is
-linear in the text.
+share is measured once. So are literals that many names reach. A name stands for
+all parts that it is joined from, through however many names: none is cut. One
+tally of parts is led from expression to expression and counts only what differs
+between them, so the time is near linear in the text where each differs by little
+from one that it refers to, or from an earlier one of the same names. Where many
+join several long values that otherwise have nothing in common, it grows with the
+square.
 
 Defined cases: a null text is an empty one; a text without spans has the digest
 of an empty string; very long texts and literals are read and scored whole; of
@@ -23,8 +28,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -38,10 +44,6 @@ KINDS = ("assign", "access", "hex", "literal")
 #: Score from which a literal counts as a secret.
 SCORE = 0.45
 
-#: Last parts that a name hands on, so that names joined to themselves over and
-#: over stay linear; the parts of one expression are never cut.
-REFERENCE_PARTS = 64
-
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]++)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -102,15 +104,6 @@ class Measure:
             out.append(one)
         return out[::-1]
 
-    @classmethod
-    def joined(cls, parts: list[Measure]) -> Measure:
-        out = cls("")
-        for m in parts:
-            out.n += m.n
-            out.times.update(m.times)
-        out.head = "".join(m.head for m in parts)[:10]  # a part's head is cut only where it is long enough alone
-        return out
-
     def form(self) -> float:
         """From 0 to 1, how much a literal looks like generated material."""
         n, low, made_of = self.n, self.head.lower(), {c.lower() for c in self.times}
@@ -118,7 +111,7 @@ class Measure:
             return 0.0
         if (n < 10 and low in PLACEHOLDERS) or low.startswith(PLACEHOLDER_STARTS) or (len(made_of) == 1 and made_of <= PLACEHOLDER_FILL):
             return 0.0
-        bits = -sum(k / n * math.log2(k / n) for k in self.times.values())
+        bits = -math.fsum(k / n * math.log2(k / n) for k in self.times.values())  # alike in any order
         kinds = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in self.times})
         return min(1.0, 0.35 * (kinds > 1) + 0.15 * (kinds > 2) + 0.15 * bits)
 
@@ -138,6 +131,8 @@ class Forms:
         self.raw: dict[tuple[int, int], Measure] = {}
         self.clean: dict[tuple[int, int], Measure] = {}
         self.memo: dict[tuple, float] = {}
+        #: by end of bare literals, from where on they have nothing to clean
+        self.plain: dict[int, int] = {}
 
     def measure(self, span: tuple[int, int]) -> Measure:
         if span not in self.raw:
@@ -149,19 +144,67 @@ class Forms:
                 self.raw[span] = Measure(self.text[a:b])
         return self.raw[span]
 
+    def cleaned(self, span: tuple[int, int]) -> Measure:
+        """Without what only a key in lines has."""
+        if span not in self.clean:
+            a, b = span
+            if b in self.starts and b not in self.plain:
+                at = self.starts[b][0]
+                self.plain[b] = max((m.end() for m in _PEM.finditer(self.text, at, b)), default=at)
+            self.clean[span] = self.measure(span) if a >= self.plain.get(b, a + 1) else Measure(_PEM.sub("", self.text[a:b]))
+        return self.clean[span]
+
     def of(self, spans: list[tuple[int, int]]) -> float:
         if (key := tuple(spans)) not in self.memo:
-            if any(self.measure(s).key for s in spans):
-                for s in spans:
-                    if s not in self.clean:
-                        self.clean[s] = Measure(_PEM.sub("", self.text[s[0] : s[1]]))
-                parts = [self.clean[s] for s in spans]
-            else:
-                parts = [self.measure(s) for s in spans]
-            self.memo[key] = Measure.joined(parts).form()
+            tally = Tally(self, any(self.measure(s).key for s in spans))
+            for s in spans:
+                tally.add(s)
+            self.memo[key] = tally.form(spans)
         return self.memo[key]
 
 
+class Tally:
+    """The measures of a changing set of spans."""
+
+    def __init__(self, forms: Forms, keyed: bool):
+        """keyed: whether some span may be of a key in lines."""
+        self.forms, self.spans, self.keys = forms, Counter(), 0
+        self.raw, self.clean = Measure(""), Measure("") if keyed else None
+
+    def _count(self, span: tuple[int, int], by: int) -> None:
+        m = self.forms.measure(span)
+        self.keys += by * m.key
+        todo = [(self.raw, m)]
+        if self.clean:
+            todo.append((self.clean, self.forms.cleaned(span)))
+        for total, one in todo:
+            total.n += by * one.n
+            for c, k in one.times.items():
+                total.times[c] += by * k
+                if not total.times[c]:
+                    del total.times[c]
+
+    def add(self, span: tuple[int, int]) -> None:
+        self.spans[span] += 1
+        if self.spans[span] == 1:
+            self._count(span, 1)
+
+    def drop(self, span: tuple[int, int]) -> None:
+        self.spans[span] -= 1
+        if not self.spans[span]:
+            del self.spans[span]
+            self._count(span, -1)
+
+    def form(self, first: list[tuple[int, int]], first_clean: list[tuple[int, int]] | None = None) -> float:
+        """Of all spans; those given come first, up to ten characters at least."""
+        if self.keys:
+            total, heads = self.clean, (self.forms.cleaned(s).head for s in (first if first_clean is None else first_clean))
+        else:
+            total, heads = self.raw, (self.forms.measure(s).head for s in first)
+        total.head = "".join(heads)[:10]  # a part's head is cut only where it is long enough alone
+        return total.form()
+
+
 def pairs(text: str):
     """``(name, parts)`` of every assignment: ``(start, end, name)`` of what is
     joined, where the name is that of a reference or None."""
@@ -264,39 +307,213 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def resolved(said: list[tuple[str, list]]) -> tuple[list[int], list[list[int | None]]]:
+    """Which expressions come down to literals, each after those it refers to, and
+    for each part of an expression the one that it refers to (None: a literal).
+
+    Names stand for what is bound before their use, else for what is bound after.
+    The text is read forward and backward in turn until nothing more is found; each
+    reading goes to those alone that it can tell."""
+    refs = [list(dict.fromkeys(r for _, _, r in parts if r)) for _, parts in said]
+    users: dict[str, list[int]] = {}
+    for k, names in enumerate(refs):
+        for r in names:
+            users.setdefault(r, []).append(k)
+    # users before lo[r] have a binding of r after them, those from hi[r] on one before
+    lo, hi = dict.fromkeys(users, 0), {r: len(u) for r, u in users.items()}
+    missing = {1: [len(names) for names in refs], -1: [len(names) for names in refs]}
+    ready: dict[int, list[int]] = {1: [k for k, names in enumerate(refs) if not names], -1: []}
+    order: list[int] = []
+    rank: list[int | None] = [None] * len(said)
+    way_of = [0] * len(said)
+
+    def tell(k: int, way: int) -> None:
+        missing[way][k] -= 1
+        if not missing[way][k] and rank[k] is None:
+            heappush(ready[way], way * k)
+
+    way = 1
+    while ready[1] or ready[-1]:
+        while ready[way]:
+            k = way * heappop(ready[way])
+            if rank[k] is not None:
+                continue
+            rank[k], way_of[k] = len(order), way
+            order.append(k)
+            if (name := said[k][0]) in users:
+                use = users[name]
+                while hi[name] and use[hi[name] - 1] > k:
+                    hi[name] -= 1
+                    tell(use[hi[name]], 1)
+                while lo[name] < len(use) and use[lo[name]] < k:
+                    tell(use[lo[name]], -1)
+                    lo[name] += 1
+        way = -way
+    # the nearest binding that was known by then: nearer ones that were known
+    # earlier hide others, so the ranks kept for a name rise
+    target: list[list[int | None]] = [[None] * len(parts) for _, parts in said]
+    for way in (1, -1):
+        kept: dict[str, list[int]] = {}
+        for k in range(len(said))[::way]:
+            name, parts = said[k]
+            if rank[k] is None:
+                continue
+            if way_of[k] == way:
+                for j, (_, _, r) in enumerate(parts):
+                    if r:
+                        target[k][j] = order[kept[r][bisect_left(kept[r], rank[k]) - 1]]
+            if name in users:
+                ranks = kept.setdefault(name, [])
+                while ranks and ranks[-1] > rank[k]:
+                    ranks.pop()
+                ranks.append(rank[k])
+    return order, target
+
+
+class Expressions:
+    """What expressions come down to: the union of their own literals and of what
+    they refer to, each literal once and in the order of the parts."""
+
+    def __init__(self, said: list[tuple[str, list]], forms: Forms, keyed: bool):
+        self.said, self.forms, self.keyed = said, forms, keyed
+        order, self.target = resolved(said)
+        #: by expression, the one it is only another name of, else itself
+        self.same: dict[int, int] = {}
+        self.own: dict[int, list[tuple[int, int]]] = {}
+        self.kids: dict[int, list[int]] = {}
+        for k in order:
+            parts, target = said[k][1], self.target[k]
+            self.same[k] = self.same[target[0]] if len(parts) == 1 and target[0] is not None else k
+            self.own[k] = [(a, b) for (a, b, _), x in zip(parts, target, strict=True) if x is None]
+            self.kids[k] = list(dict.fromkeys(self.same[x] for x in target if x is not None))
+
+    def reach(self, chosen: set[int]) -> set[int]:
+        """The chosen ones and all that they refer to."""
+        seen, todo = set(chosen), list(chosen)
+        while todo:
+            more = [x for x in self.kids[todo.pop()] if x not in seen]
+            seen.update(more)
+            todo += more
+        return seen
+
+    def _first(self, among: set[int], measure) -> dict[int, list[tuple[int, int]]]:
+        """The first spans of each, up to ten characters at least."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k in self.kids:
+            if k not in among:
+                continue
+            spans, n = {}, 0
+            for (a, b, _), x in zip(self.said[k][1], self.target[k], strict=True):
+                for s in [(a, b)] if x is None else out[self.same[x]]:
+                    if s not in spans and (size := measure(s).n):
+                        spans[s] = None
+                        n += size
+                if n >= 10:
+                    break
+            out[k] = list(spans)
+        return out
+
+    def _near(self) -> dict[int, int]:
+        """For each that refers to others, one before it that is likely to differ by
+        little: what it refers to; of several, the last that joins the same names,
+        else the longest."""
+        near: dict[int, int] = {}
+        size: dict[int, int] = {}
+        last: dict[tuple, int] = {}
+        for k, kids in self.kids.items():
+            if self.same[k] != k:
+                continue
+            size[k] = min(len(self.said), len(self.own[k]) + sum(size[x] for x in kids))
+            if len(kids) > 1:
+                alike = (self.said[k][0], *sorted({r for _, _, r in self.said[k][1] if r}))
+                near[k] = last[alike] if alike in last else max(reversed(kids), key=size.__getitem__)
+                last[alike] = k
+            elif kids:
+                near[k] = kids[0]
+        return near
+
+    def forms_of(self, wanted: set[int]) -> dict[int, float]:
+        """The forms of some that ``same`` gives, by one tally that goes from each to
+        the next and counts what differs."""
+        out = {k: self.forms.of(self.own[k]) for k in wanted if not self.kids[k]}
+        if len(out) == len(wanted):
+            return out
+        near, after, seen, roots = self._near(), {}, set(), []
+        for k in wanted - out.keys():
+            while k not in seen:
+                seen.add(k)
+                if k not in near:
+                    roots.append(k)
+                    break
+                after.setdefault(near[k], []).append(k)
+                k = near[k]
+        among, tally = self.reach(wanted - out.keys()), Tally(self.forms, self.keyed)
+        first = self._first(among, self.forms.measure)
+        first_clean = self._first(among, self.forms.cleaned) if self.keyed else first
+        held: Counter[int] = Counter()
+
+        def take(k: int) -> None:
+            todo = [k]
+            while todo:
+                held[k := todo.pop()] += 1
+                if held[k] == 1:
+                    for s in self.own[k]:
+                        tally.add(s)
+                    todo += self.kids[k]
+
+        def leave(k: int) -> None:
+            todo = [k]
+            while todo:
+                held[k := todo.pop()] -= 1
+                if not held[k]:
+                    del held[k]
+                    for s in self.own[k]:
+                        tally.drop(s)
+                    todo += self.kids[k]
+
+        now, todo = None, sorted(roots)
+        while todo:
+            k = todo.pop()
+            todo += sorted(after.get(k, ()))
+            if k in wanted and k not in out:
+                take(k)
+                if now is not None:
+                    leave(now)
+                now = k
+                out[k] = tally.form(first[k], first_clean[k])
+        return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that a sensitive name is bound to, directly or through others."""
-    found: set[tuple[int, int]] = set()
     if "=" not in text and ":" not in text:
         return []
     said = list(pairs(text))
-    value: list[list | None] = [None] * len(said)
-    # names stand for what is bound before their use, else for what is bound after;
-    # each way twice, for references that lead on in both
-    for way in (1, -1, 1, -1):
-        bound: dict[str, list] = {}
-        for k in range(len(said))[::way]:
-            name, parts = said[k]
-            if value[k] is None:
-                known = [[(a, b)] if not r else bound.get(r) for a, b, r in parts]
-                if all(known):
-                    # a span counts once, however often a name is joined to itself
-                    value[k] = list(dict.fromkeys(s for x in known for s in x))
-            if value[k]:
-                bound[name] = value[k][-REFERENCE_PARTS:]
     starts: dict[int, list[int]] = {}
     for _, parts in said:
         if parts[0][2] == "":
             starts.setdefault(parts[0][1], []).append(parts[0][0])
     forms = Forms(text, starts)
-    for (name, parts), spans in zip(said, value, strict=True):
-        weight = sensitivity(name)
-        if weight > 0.2:
-            # of what stays unknown, a name alone is its own literal
-            if spans is None:
-                spans = [(a, b) for a, b, r in parts if not r or len(parts) == 1]
-            if weight * forms.of(spans) >= SCORE:
-                found.update(spans)
+    weights = [sensitivity(name) for name, _ in said]
+    if max(weights, default=0) <= 0.2:
+        return []
+    known = Expressions(said, forms, "-----BEGIN" in text)
+    form_of = known.forms_of({known.same[k] for k, w in enumerate(weights) if w > 0.2 and k in known.same})
+    found: set[tuple[int, int]] = set()
+    chosen: set[int] = set()
+    for k, weight in enumerate(weights):
+        if weight <= 0.2:
+            continue
+        if k in known.same:
+            if weight * form_of[known.same[k]] >= SCORE:
+                chosen.add(known.same[k])
+            continue
+        # of what stays unknown, a name alone is its own literal
+        parts = said[k][1]
+        spans = [(a, b) for a, b, r in parts if not r or len(parts) == 1]
+        if weight * forms.of(spans) >= SCORE:
+            found.update(spans)
+    found.update(s for k in known.reach(chosen) for s in known.own[k])
     return sorted((a, 3, b) for a, b in found if b > a)
 
 

@@ -166,3 +166,99 @@ def test_long_literals_are_scored_whole():
     assert secrets.scan('pwd = "' + "q" * 5000 + '"')["spans"] == ""
     # one character more changes no score by a jump
     assert abs(secrets.form("aB" * 2048) - secrets.form("aB" * 2048 + "a")) < 0.01
+
+
+def digits(k):
+    return "".join("ghjkmnpqrs"[int(c)] for c in f"{k:04d}")
+
+
+def zigzag(n):
+    """A constant that is reached by turning back n times."""
+    left = [f"a{k} = a{k - 1}\n" for k in range(1, n, 2)][::-1]
+    right = [f"a{k} = a{k - 1}\n" for k in range(2, n, 2)]
+    return "".join([*left, 'a0 = "Xk29-dLq81.zPw"\n', *right])
+
+
+def test_names_hand_on_all_parts():
+    own = [f"Xk{digits(k)}-7" for k in range(200)]
+    at_once = "cfg = " + " + ".join(f'"{x}"' for x in own) + "\npwd = cfg\n"
+    one_by_one = f'cfg = "{own[0]}"\n' + "".join(f'cfg = cfg + "{x}"\n' for x in own[1:]) + "alias = cfg\npwd = alias\n"
+    later = "pwd = cfg\ncfg = " + " + ".join(f"c{k}" for k in range(200)) + "\n" + "".join(f'c{k} = "{x}"\n' for k, x in enumerate(own))
+    for text in (at_once, one_by_one, later):
+        assert literals(text) == own
+        assert "Xk" not in secrets.redact(text)
+    # the first parts count in the form: white space there makes it prose
+    assert literals("cfg = 'two words'" + "".join(f" + '{x}'" for x in own) + "\npwd = cfg\n") == []
+
+
+def test_names_lead_on_any_number_of_times():
+    for n in (3, 5, 6, 7, 40, 41):
+        for text in (zigzag(n) + f"pwd = a{n - 1}\n", f"pwd = a{n - 1}\n" + zigzag(n)):
+            assert "Xk29-dLq81.zPw" in literals(text), text
+
+
+def slow_whole(statements):
+    """Text and spans of ``(name, [(quoted?, what)])``, read forward and backward
+    until nothing changes, with all parts copied."""
+    text, where = "", []
+    for name, parts in statements:
+        text += name + " = "
+        own = []
+        for k, (quoted, what) in enumerate(parts):
+            text += " + " * bool(k)
+            own.append((len(text) + quoted, len(text) + quoted + len(what), None if quoted else what))
+            text += f'"{what}"' if quoted else what
+        where.append(own)
+        text += "\n"
+    value, before = [None] * len(where), -1
+    while before != (before := sum(v is not None for v in value)):
+        for way in (1, -1):
+            bound = {}
+            for k in range(len(where))[::way]:
+                known = [[(a, b)] if r is None else bound.get(r) for a, b, r in where[k]]
+                if value[k] is None and all(known):
+                    value[k] = list(dict.fromkeys(sum(known, [])))
+                if value[k]:
+                    bound[statements[k][0]] = value[k]
+    out = set()
+    for (name, _), own, spans in zip(statements, where, value, strict=True):
+        spans = spans or [(a, b) for a, b, r in own if not r or len(own) == 1]
+        if secrets.sensitivity(name) * slow_form("".join(text[a:b] for a, b in spans)) >= secrets.SCORE:
+            out.update(spans)
+    return text, sorted((a, 3, b) for a, b in out if b > a)
+
+
+def test_long_programs_against_a_slow_lexer():
+    rng = random.Random(31)
+    names = ["pwd", "API_PWD", "A", "B", "C", "cfg", "clientCredential", "signing_key", "colour"]
+    pieces = ["Xk29-dLq81.zPw", "9fTq-77Lm", "changeme", "aaaaaaaa", "your-value-1A", "xx", "XX", "", "a", "b1", "%", "no", "ne", "plainwordshere"]
+    most = 0
+    for _ in range(300):
+        few, share = rng.sample(names, rng.randrange(2, 10)), rng.random() * 0.7
+        program = []
+        for _ in range(rng.choice((10, 40, 160))):
+            parts = [(False, rng.choice(few)) if rng.random() < share else (True, rng.choice(pieces)) for _ in range(1 + min(3, int(rng.expovariate(1))))]
+            program.append((rng.choice(few), parts))
+        if rng.random() < 0.5:  # one name collects many parts that no sensitive name holds by itself
+            grown = [("D", [(False, "D")] * bool(k) + [(True, rng.choice(pieces))]) for k in range(rng.randrange(60, 130))]
+            program[len(program) // 2 : len(program) // 2] = [*grown, ("pwd", [(False, "D"), (True, rng.choice(pieces))])]
+        text, want = slow_whole(program)
+        assert secrets.lexed_spans(text) == want, text
+        most = max(most, len(want))
+    assert most > 64
+
+
+def test_time_of_what_names_join():
+    from .conftest import doubling
+
+    lines = lambda line: lambda n: "".join(line(k) for k in range(n))
+    for text in (
+        lines(lambda k: f'pwd{k + 1} = pwd{k} + "x{k}-A"\n' if k else 'pwd1 = "a"\n'),
+        lines(lambda k: f'pwd{k} = pwd{k - 1} + pwd{k - 2} + "x{k}-A"\n' if k > 1 else f'pwd{k} = "a"\n'),
+        lines(lambda k: f'A = A + "{k}x-A"\nB = B + "y-{k}"\npwd = A + B\n' if k else "A = 'a'\nB = 'b'\n"),
+        lambda n: "BIG = " + " + ".join(f'"x{k}-A"' for k in range(n)) + "\n" + "".join(f"pwd{k} = BIG + 'x{k}'\n" for k in range(n)),
+        lambda n: "K = '''-----BEGIN PRIVATE KEY-----\nMIIE'''\npwd = K\n" + "".join(f"pwd = pwd + 'x{k}-A'\n" for k in range(n)),
+        lambda n: "pwd = LAST\n" * n + 'LAST = "Xk29-dLq81.zPw"\n',
+        zigzag,
+    ):
+        assert doubling(lambda n, t=text: secrets.lexed_spans(t(n)), 2000), text(5)
