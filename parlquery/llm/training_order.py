@@ -47,6 +47,9 @@ PARTITION_BYTES = 64 << 20
 #: Waves in which shards are written.
 WAVES = 4
 
+#: Sequences that a task hands on at a time.
+BATCH_SEQ = 1024
+
 #: What stands before the token ids of a record, and after them.
 HEAD, TAIL = ">qqqHb", b"\n"
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -79,34 +82,47 @@ class ByteBpe:
         return self.coder.decode([i for i in np.frombuffer(ids, dtype="<u2").tolist() if i != END])
 
 
+def cut(batches: Iterator[pa.RecordBatch], coder: ByteBpe, part: int, seq_len: int = SEQ_LEN) -> Iterator[pa.RecordBatch]:
+    """The sequences of the texts in batches, ``BATCH_SEQ`` at a time, however many
+    texts come at once and however long they are."""
+    at, stride = 0, 2 * seq_len
+    doc, no, n, ids = held = [], [], [], []
+
+    def batch() -> pa.RecordBatch:
+        rows = len(doc)
+        columns = [pa.array([part] * rows, pa.int64()), pa.array(np.arange(at, at + rows)), *(pa.array(x, pa.int64()) for x in (doc, no, n)), pa.array(ids, pa.binary())]
+        for x in held:
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["part", "at", "doc_id", "seq_no", "n_tokens", "ids"])
+
+    for rows in batches:
+        for d, x in zip(rows.column(0), rows.column(1), strict=True):
+            raw, own = coder.encode(x.as_py() or ""), d.as_py()
+            for k in range(0, len(raw), stride):
+                doc.append(own)
+                no.append(k // stride)
+                ids.append(raw[k : k + stride])
+                n.append(len(ids[-1]) // 2)
+                if len(doc) == BATCH_SEQ:
+                    yield batch()
+                    at += BATCH_SEQ
+    if doc:
+        yield batch()
+
+
 def sequences(df: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """``(part, at, doc_id, seq_no, n_tokens, ids)``: the sequences of every
     text, counted within the partition that makes them; written once, so that
     the numbering holds from then on."""
     path = path or vocabulary_path()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, at, stride = ByteBpe(path), TaskContext.get().partitionId(), 0, 2 * seq_len
-        for batch in batches:
-            doc, no, n, ids = [], [], [], []
-            for d, x in zip(batch.column(0), batch.column(1), strict=True):
-                raw = coder.encode(x.as_py() or "")
-                for k in range(0, len(raw), stride):
-                    doc.append(d.as_py())
-                    no.append(k // stride)
-                    ids.append(raw[k : k + stride])
-                    n.append(len(ids[-1]) // 2)
-            rows = len(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * rows, pa.int64()), pa.array(np.arange(at, at + rows)), pa.array(doc, pa.int64()), pa.array(no, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=["part", "at", "doc_id", "seq_no", "n_tokens", "ids"],
-            )
-            at += rows
+        return cut(batches, ByteBpe(path), TaskContext.get().partitionId(), seq_len)
 
     rows = df.select(F.col(doc_id).try_cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return common.materialize(rows.mapInArrow(cut, "part bigint, at bigint, doc_id bigint, seq_no bigint, n_tokens bigint, ids binary"), "sequences")
+    return common.materialize(rows.mapInArrow(run, "part bigint, at bigint, doc_id bigint, seq_no bigint, n_tokens bigint, ids binary"), "sequences")
 
 
 def stride_of(seq_len: int = SEQ_LEN) -> int:
@@ -125,7 +141,9 @@ def slots(seqs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
         for batch in batches:
             yield pa.array(permute(batch.to_numpy(), total, key))
 
-    slot = F.arrow_udf(to_slot, "bigint", F.ArrowUDFType.SCALAR_ITER)
+    # said to be nondeterministic, lest a filter on the slot is pushed below it: the
+    # plan would hold it twice, with two Python workers to a task
+    slot = F.arrow_udf(to_slot, "bigint", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
     rows = seqs.join(first.select("part", "first"), "part").withColumn("slot", slot(F.col("first") + F.col("at")))
     return rows.drop("part", "at", "first"), total
 

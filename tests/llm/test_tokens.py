@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,25 @@ def test_reading_and_writing_go_on(spark, documents, tmp_path):
     assert {r["slot"]: bytes(r["record"]) for r in training_order.read(spark, path, shard_seq=32).collect()} == want
 
 
+def test_a_task_of_the_training_order_holds_little(spark, documents):
+    """Sequences leave in batches of a bounded size, and a wave computes its slots
+    once: a task that does so twice has two Python workers."""
+    coder = training_order.ByteBpe(training_order.vocabulary_path())
+    texts = ["one two", None, "word " * 600_000, "", *["end"] * 3_000]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = list(training_order.cut(iter([rows, rows.slice(0, 2)]), coder, 7))
+    assert max(b.num_rows for b in found) <= training_order.BATCH_SEQ
+    got = pa.Table.from_batches(found).to_pylist()
+    assert [r["at"] for r in got] == list(range(len(got))) and {r["part"] for r in got} == {7}
+    want = [(d, coder.encode(x or "")) for d, x in enumerate(texts)] + [(0, coder.encode("one two"))]
+    stride = 2 * training_order.SEQ_LEN
+    assert [(r["doc_id"], r["seq_no"], r["n_tokens"], r["ids"]) for r in got] == [(d, k // stride, len(raw[k : k + stride]) // 2, raw[k : k + stride]) for d, raw in want for k in range(0, len(raw), stride)]
+    slots, total = training_order.slots(training_order.sequences(documents))
+    wave = training_order.in_order(slots, 1, 3, shard_seq=32)
+    assert total > 3 * 32 and wave._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["slot"] for r in wave.collect()) == list(range(32, 96))
+
+
 def test_training_order_query(spark, documents):
     a, b = (sorted((r["slot"], r["doc_id"], r["seq_no"]) for r in training_order.query(spark, "/root/testdata/sf0.001").collect()) for _ in range(2))
     assert a == b and [x[0] for x in a] == list(range(len(a)))
